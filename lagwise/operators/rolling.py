@@ -12,8 +12,8 @@ from lagwise.operators.sequence import (
     MAX_ROWS_PER_TASK,
     drop_null_keys,
     hot_keys,
+    last_before,
     lay_out,
-    running,
 )
 
 # Half-lives per weight segment: weights stay within 2**64 and whatever lies more than
@@ -46,20 +46,22 @@ def rolling_bundle(
     halflife: float | None = None,
     prefix: str = "",
     max_rows: int | None = MAX_ROWS_PER_TASK,
+    keep_null_keys: bool = False,
 ) -> DataFrame:
     """Add mean, sample deviation and momentum over the last k rows, and an
     exponentially weighted mean when ``halflife`` is given.
 
     Output names are ``{prefix}{col}_mean_{k}``, ``_std_{k}``, ``_momentum_{k}``,
     ``_ewm_{h}`` and ``_momentum_ewm_{h}``. Momentum is the previous value minus the
-    statistic. ``order`` must be unique inside a key.
+    statistic. ``order`` must be unique inside a key. Rows with a NULL key are dropped, or
+    kept with NULL statistics if ``keep_null_keys`` is set.
     """
     present = set(df.columns)
     if values is None:
         values = numeric_columns(df, exclude=[*keys, "game_pk"])
     values = [c for c in dict.fromkeys(values) if c in present and c not in {*keys, "game_pk"}]
     segment = int(SEGMENT_HALFLIVES * halflife) if halflife else 0
-    layout = lay_out(df, keys, order, before=max([1, segment, *windows]), max_rows=max_rows)
+    layout = lay_out(df, keys, order, before=max([1, segment, *windows]), max_rows=max_rows, keep_null_keys=keep_null_keys)
     w = layout.window()
     source = {c: _number(df, c) for c in values}
     out: dict[str, Column] = {}
@@ -72,7 +74,7 @@ def rolling_bundle(
             out[f"{prefix}{c}_std_{k}"] = F.stddev_samp(source[c]).over(frame)
             out[f"{prefix}{c}_momentum_{k}"] = lagged[c] - mean
     keep = [F.col(c) for c in layout.df.columns]
-    named = [e.alias(n) for n, e in out.items()]
+    named = [layout.known(e).alias(n) for n, e in out.items()]
     if not halflife:
         return layout.finish(layout.df.select(*keep, *named))
 
@@ -103,16 +105,13 @@ def rolling_bundle(
     # Defined on rows that have a value; a NULL row leaves the average unchanged.
     smoothed = numbered.withColumns(
         {
-            f"_ewm_{c}": F.when(source[c].isNotNull(), level(c, weighted) / level(c, present_weight))
+            f"_ewm_{c}": layout.known(
+                F.when(source[c].isNotNull(), level(c, weighted) / level(c, present_weight))
+            )
             for c in values
         }
     )
-    done = running(
-        layout,
-        smoothed,
-        {f"{prefix}{c}_ewm_{tag}": ("last", f"_ewm_{c}") for c in values},
-        include_current=False,
-    )
+    done = last_before(layout, smoothed, {f"{prefix}{c}_ewm_{tag}": f"_ewm_{c}" for c in values})
     done = done.withColumns(
         {
             f"{prefix}{c}_momentum_ewm_{tag}": F.col(f"_lag_{c}") - F.col(f"{prefix}{c}_ewm_{tag}")

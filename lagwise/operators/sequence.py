@@ -8,7 +8,7 @@ blocks of consecutive rows instead:
   bucket plus a rank inside the bucket, so no task sorts the whole key;
 * a block is ``max_rows`` consecutive positions; rows within reach of a frame are
   copied into the neighbouring block, so frames of bounded length stay exact;
-* values that depend on the whole past (running max, last value) are computed per
+* a value that depends on the whole past (the last non-NULL one) is computed per
   block, then carried over the few block summaries of the key.
 
 No row is dropped, capped or sampled; without hot keys the layout is the plain window.
@@ -28,7 +28,8 @@ MAX_ROWS_PER_TASK = 1_000_000
 # joined by shuffle.
 BROADCAST_ROWS = 100_000
 
-BLOCK, CORE, POS = "_block", "_core", "_pos"
+BLOCK, CORE, POS, SPREAD = "_block", "_core", "_pos", "_spread"
+_SPREAD_PARTS = 1 << 20
 _LEAD, _TIE, _SUB = "_lead", "_tie", "_sub"
 
 
@@ -43,7 +44,8 @@ def hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int = MAX_ROWS_PER_TA
     There can be at most ``rows / max_rows`` such keys.
     """
     keys = list(keys)
-    counts = df.select(*keys).groupBy(*keys).count().where(F.col("count") > max_rows).select(*keys)
+    known = drop_null_keys(df.select(*keys), keys)
+    counts = known.groupBy(*keys).count().where(F.col("count") > max_rows).select(*keys)
     head = counts.limit(BROADCAST_ROWS + 1).collect()
     if not head:
         return None
@@ -133,10 +135,18 @@ class Layout:
     keys: tuple[str, ...]
     order: tuple[str, ...]
     split: bool
+    has_null_keys: bool = False
 
     @property
     def partition(self) -> list[str]:
-        return [*self.keys, BLOCK] if self.split else list(self.keys)
+        extra = [BLOCK] * self.split + [SPREAD] * self.has_null_keys
+        return [*self.keys, *extra]
+
+    def known(self, value: Column) -> Column:
+        """``value`` where the key is known, else NULL."""
+        if not self.has_null_keys:
+            return value
+        return F.when(F.col(SPREAD) == 0, value)
 
     def window(self) -> WindowSpec:
         return Window.partitionBy(*self.partition).orderBy(*self.order)
@@ -146,7 +156,8 @@ class Layout:
         return F.when(F.col(CORE), value) if self.split else value
 
     def finish(self, df: DataFrame) -> DataFrame:
-        return df.where(F.col(CORE)).drop(BLOCK, CORE, POS) if self.split else df
+        done = df.where(F.col(CORE)).drop(BLOCK, CORE, POS) if self.split else df
+        return done.drop(SPREAD)
 
 
 def lay_out(
@@ -156,16 +167,25 @@ def lay_out(
     before: int = 0,
     after: int = 0,
     max_rows: int | None = MAX_ROWS_PER_TASK,
+    keep_null_keys: bool = False,
 ) -> Layout:
     """Arrange ``df`` for frames reaching ``before`` rows back and ``after`` rows ahead.
 
-    ``max_rows=None`` skips the hot-key check. Rows with a NULL key are dropped.
+    ``max_rows=None`` skips the hot-key check. Rows with a NULL key belong to no group:
+    they are dropped, or with ``keep_null_keys`` kept and spread over many tasks.
     """
     keys, order = tuple(keys), tuple(order)
-    df = drop_null_keys(df, keys)
+    if keep_null_keys:
+        unknown = F.lit(False)
+        for k in keys:
+            unknown = unknown | F.col(k).isNull()
+        spread = F.pmod(F.xxhash64(*order), F.lit(_SPREAD_PARTS)) + 1
+        df = df.withColumn(SPREAD, F.when(unknown, spread).otherwise(0))
+    else:
+        df = drop_null_keys(df, keys)
     hot = hot_keys(df, keys, max_rows) if max_rows else None
     if hot is None:
-        return Layout(df, keys, order, False)
+        return Layout(df, keys, order, False, keep_null_keys)
     size = max(max_rows, before, after)
     cold_rows = df.join(hot, list(keys), "left_anti").withColumns(
         {BLOCK: F.lit(0).cast("long"), CORE: F.lit(True), POS: F.lit(None).cast("long")}
@@ -186,50 +206,42 @@ def lay_out(
         .withColumn(CORE, F.col(BLOCK) == F.col("_own"))
         .drop("_own")
     )
-    return Layout(cold_rows.unionByName(hot_rows), keys, order, True)
+    return Layout(cold_rows.unionByName(hot_rows), keys, order, True, keep_null_keys)
 
 
-def running(
-    layout: Layout,
-    df: DataFrame,
-    columns: Mapping[str, tuple[str, str]],
-    include_current: bool,
-) -> DataFrame:
-    """Running values over the whole past of each key.
+def last_before(layout: Layout, df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """Last non-NULL value over all earlier rows of the key, however far back.
 
-    ``columns`` maps an output name to ``(kind, source)`` with kind ``"last"`` (last
-    non-NULL) or ``"max"``. ``df`` is ``layout.df``, perhaps with columns added.
+    ``columns`` maps an output name to its source. ``df`` is ``layout.df``, perhaps with
+    columns added.
     """
-    frame = layout.window().rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
-    local = {}
-    for out, (kind, source) in columns.items():
-        value = layout.core(F.col(source))
-        local[out] = (F.last(value, ignorenulls=True) if kind == "last" else F.max(value)).over(frame)
+    frame = layout.window().rowsBetween(Window.unboundedPreceding, -1)
+    local = {
+        out: F.last(layout.core(F.col(source)), ignorenulls=True).over(frame)
+        for out, source in columns.items()
+    }
     if not layout.split:
         return df.withColumns(local)
 
+    # One summary per block of a hot key, carried over the blocks before each block.
     keys = list(layout.keys)
-    tails = {
-        out: F.max_by(source, F.when(F.col(source).isNotNull(), F.col(POS)))
-        if kind == "last"
-        else F.max(source)
-        for out, (kind, source) in columns.items()
-    }
     past = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    summaries = df.where(F.col(CORE) & F.col(POS).isNotNull()).groupBy(*keys, BLOCK)
-    carries = summaries.agg(*[e.alias(out) for out, e in tails.items()]).select(
+    summaries = (
+        df.where(F.col(CORE) & F.col(POS).isNotNull())
+        .groupBy(*keys, BLOCK)
+        .agg(
+            *[
+                F.max_by(source, F.when(F.col(source).isNotNull(), F.col(POS))).alias(out)
+                for out, source in columns.items()
+            ]
+        )
+    )
+    carries = summaries.select(
         *keys,
         BLOCK,
-        *[
-            (F.last(out, ignorenulls=True) if kind == "last" else F.max(out)).over(past).alias(f"_carry_{out}")
-            for out, (kind, _) in columns.items()
-        ],
+        *[F.last(out, ignorenulls=True).over(past).alias(f"_carry_{out}") for out in columns],
     )
     joined = df.withColumns(local).join(carries, keys + [BLOCK], "left")
-    merged = {
-        out: F.coalesce(F.col(out), F.col(f"_carry_{out}"))
-        if kind == "last"
-        else F.greatest(F.col(out), F.col(f"_carry_{out}"))
-        for out, (kind, _) in columns.items()
-    }
-    return joined.withColumns(merged).drop(*[f"_carry_{out}" for out in columns])
+    return joined.withColumns(
+        {out: F.coalesce(F.col(out), F.col(f"_carry_{out}")) for out in columns}
+    ).drop(*[f"_carry_{out}" for out in columns])
