@@ -1,43 +1,58 @@
-"""Aggregate expressions with the missing-value rules of the feature definitions."""
+"""Aggregate expressions with the missing-value rules of the feature definitions.
+
+Arguments and results are SQL text: a metric is then one parsed expression, and a
+hundred of them are quick to build.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from collections.abc import Iterable
+
+
+def one_of(column: str, values: Iterable[str]) -> str:
+    """Membership that is false, not NULL, for a missing value."""
+    listed = ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+    return f"coalesce({column} in ({listed}), false)"
 
-from lagwise.functions.scalars import _col, flag, is_true, ratio
 
+def ratio(numerator: str, denominator: str) -> str:
+    """Quotient as double, NULL for a zero or NULL denominator."""
+    return f"cast({numerator} as double) / nullif(cast({denominator} as double), 0D)"
 
-def total(c: Column | str) -> Column:
+
+def total(value: str) -> str:
     """Sum, 0 when there is nothing to add."""
-    return F.coalesce(F.sum(_col(c)), F.lit(0))
+    return f"coalesce(sum({value}), 0)"
 
 
-def count_where(condition: Column) -> Column:
-    return F.count_if(is_true(condition))
+def _flag(condition: str) -> str:
+    return f"case when {condition} then 1 else 0 end"
 
 
-def share(condition: Column) -> Column:
-    """Share of rows where the condition holds; NULL conditions count as false."""
-    return F.avg(flag(condition))
+def share(condition: str) -> str:
+    """Share of rows where the condition holds; NULL counts as false."""
+    return f"avg({_flag(condition)})"
 
 
-def share_within(condition: Column, mask: Column) -> Column:
+def share_within(condition: str, mask: str) -> str:
     """Share among the rows of ``mask``; NULL if the mask is empty."""
-    return F.avg(F.when(mask, flag(condition)))
+    return f"avg(case when {mask} then {_flag(condition)} end)"
 
 
-def weighted_mean(value: Column | str, weight: Column | str) -> Column:
+def weighted_mean(value: str, weight: str) -> str:
     """Weighted mean over rows where both value and weight are present."""
-    v, w = _col(value), _col(weight)
-    return ratio(F.sum(v * w), F.sum(F.when(v.isNotNull(), w)))
+    return ratio(f"sum({value} * {weight})", f"sum(case when {value} is not null then {weight} end)")
 
 
-def ratio_of_sums(value: Column | str, weight: Column | str) -> Column:
+def ratio_of_sums(value: str, weight: str) -> str:
     """``sum(v * w) / sum(w)``: rows without a value still count in the denominator."""
-    return ratio(F.sum(_col(value) * _col(weight)), F.sum(_col(weight)))
+    return ratio(f"sum({value} * {weight})", f"sum({weight})")
 
 
-def first_by(c: Column | str, order: Column) -> Column:
+def first_by(value: str, order: str) -> str:
     """First non-NULL value under an order."""
-    return F.min_by(_col(c), F.when(_col(c).isNotNull(), order))
+    return f"min_by({value}, case when {value} is not null then {order} end)"
+
+
+def missing() -> str:
+    return "cast(null as double)"

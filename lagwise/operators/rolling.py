@@ -21,12 +21,8 @@ from lagwise.operators.sequence import (
 SEGMENT_HALFLIVES = 64
 
 
-def _number(df: DataFrame, name: str) -> Column:
-    """Column as double with NaN read as NULL."""
-    value = F.col(name).cast("double")
-    if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
-        return F.nanvl(value, F.lit(None).cast("double"))
-    return value
+def _name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -56,70 +52,85 @@ def rolling_bundle(
     statistic. ``order`` must be unique inside a key. Rows with a NULL key are dropped, or
     kept with NULL statistics if ``keep_null_keys`` is set.
     """
-    present = set(df.columns)
     if values is None:
         values = numeric_columns(df, exclude=[*keys, "game_pk"])
-    values = [c for c in dict.fromkeys(values) if c in present and c not in {*keys, "game_pk"}]
+    values = [c for c in dict.fromkeys(values) if c in df.columns and c not in {*keys, "game_pk"}]
     segment = int(SEGMENT_HALFLIVES * halflife) if halflife else 0
-    layout = lay_out(df, keys, order, before=max([1, segment, *windows]), max_rows=max_rows, keep_null_keys=keep_null_keys)
-    w = layout.window()
-    source = {c: _number(df, c) for c in values}
-    out: dict[str, Column] = {}
-    lagged = {c: F.lag(source[c]).over(w) for c in values}
+    df = _nan_to_null(df, values)
+    layout = lay_out(
+        df, keys, order, before=max([1, segment, *windows]), max_rows=max_rows, keep_null_keys=keep_null_keys
+    )
+    # SQL text: hundreds of expressions are parsed in one call each, and all frames share
+    # one partitioning and order, so they need one exchange and one sort.
+    part = ", ".join(map(_name, layout.partition))
+    over = f"over (partition by {part} order by {', '.join(map(_name, order))}"
+    keep = list(map(_name, layout.df.columns))
+    stats = [f"lag({_name(c)}) {over}) as {_name('_lag_' + c)}" for c in values]
+    names = list(keep)
     for k in windows:
-        frame = w.rowsBetween(-k, -1)
+        frame = f"{over} rows between {int(k)} preceding and 1 preceding)"
         for c in values:
-            mean = F.avg(source[c]).over(frame)
-            out[f"{prefix}{c}_mean_{k}"] = mean
-            out[f"{prefix}{c}_std_{k}"] = F.stddev_samp(source[c]).over(frame)
-            out[f"{prefix}{c}_momentum_{k}"] = lagged[c] - mean
-    keep = [F.col(c) for c in layout.df.columns]
-    named = [layout.known(e).alias(n) for n, e in out.items()]
+            mean, std, momentum = (f"{prefix}{c}_{stat}_{k}" for stat in ("mean", "std", "momentum"))
+            stats.append(f"{layout.known_sql(f'avg({_name(c)}) {frame}')} as {_name(mean)}")
+            stats.append(f"{layout.known_sql(f'stddev_samp({_name(c)}) {frame}')} as {_name(std)}")
+            names += [_name(mean), _name(std), f"{_name('_lag_' + c)} - {_name(mean)} as {_name(momentum)}"]
     if not halflife:
-        return layout.finish(layout.df.select(*keep, *named))
+        return layout.finish(layout.df.selectExpr(*keep, *stats).selectExpr(*names))
 
     # Exponential weights grow with the position inside a segment; the current segment
     # and the one before it hold all weight that matters.
-    h = float(halflife)
-    tag = int(halflife)
-    numbered = layout.df.select(
-        *keep,
-        *named,
-        *[lagged[c].alias(f"_lag_{c}") for c in values],
-        (F.row_number().over(w) - 1).alias("_row"),
-    ).withColumn("_segment", F.expr(f"_row div {segment}"))
-    weight = F.pow(F.lit(2.0), F.pmod(F.col("_row"), F.lit(segment)) / F.lit(h))
-    weighted = {c: source[c] * weight for c in values}
-    present_weight = {c: F.when(source[c].isNotNull(), weight) for c in values}
-    inside = (
-        Window.partitionBy(*layout.partition, "_segment")
-        .orderBy("_row")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    h, tag = float(halflife), int(halflife)
+    numbered = layout.df.selectExpr(*keep, *stats, f"row_number() {over}) - 1 as _row").selectExpr(
+        *names,
+        *[_name("_lag_" + c) for c in values],
+        "_row",
+        f"_row div {segment} as _segment",
+        f"pow(2D, pmod(_row, {segment}) / {h}D) as _weight",
     )
-    previous = Window.partitionBy(*layout.partition).orderBy("_segment").rangeBetween(-1, -1)
-    fade = F.lit(2.0 ** (-segment / h))
+    inside = f"over (partition by {part}, _segment order by _row rows unbounded preceding)"
+    previous = f"over (partition by {part} order by _segment range between 1 preceding and 1 preceding)"
+    fade = repr(2.0 ** (-segment / h)) + "D"
 
-    def level(c: str, terms: dict[str, Column]) -> Column:
-        return F.sum(terms[c]).over(inside) + F.coalesce(F.sum(terms[c]).over(previous) * fade, F.lit(0.0))
+    def level(term: str) -> str:
+        return f"(sum({term}) {inside} + coalesce(sum({term}) {previous} * {fade}, 0D))"
 
     # Defined on rows that have a value; a NULL row leaves the average unchanged.
-    smoothed = numbered.withColumns(
-        {
-            f"_ewm_{c}": layout.known(
-                F.when(source[c].isNotNull(), level(c, weighted) / level(c, present_weight))
+    smoothed = numbered.selectExpr(
+        "*",
+        *[
+            layout.known_sql(
+                f"case when {_name(c)} is not null then {level(f'{_name(c)} * _weight')} / "
+                f"{level(f'case when {_name(c)} is not null then _weight end')} end"
             )
+            + f" as {_name('_ewm_' + c)}"
             for c in values
-        }
+        ],
     )
-    done = last_before(layout, smoothed, {f"{prefix}{c}_ewm_{tag}": f"_ewm_{c}" for c in values})
-    done = done.withColumns(
-        {
-            f"{prefix}{c}_momentum_ewm_{tag}": F.col(f"_lag_{c}") - F.col(f"{prefix}{c}_ewm_{tag}")
-            for c in values
-        }
+    outputs = {f"{prefix}{c}_ewm_{tag}": f"_ewm_{c}" for c in values}
+    done = last_before(layout, smoothed, outputs)
+    hidden = {"_row", "_segment", "_weight", *outputs.values(), *[f"_lag_{c}" for c in values], *outputs}
+    visible = [_name(c) for c in done.columns if c not in hidden]
+    ewm = []
+    for c in values:
+        mean = f"{prefix}{c}_ewm_{tag}"
+        momentum = _name(f"{prefix}{c}_momentum_ewm_{tag}")
+        ewm += [_name(mean), f"{_name('_lag_' + c)} - {_name(mean)} as {momentum}"]
+    return layout.finish(done.selectExpr(*visible, *ewm))
+
+
+def _nan_to_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """NaN would poison averages and sorts above all numbers; a missing value is NULL."""
+    floats = {
+        f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType)) and f.name in set(columns)
+    }
+    if not floats:
+        return df
+    return df.selectExpr(
+        *[
+            f"nanvl({_name(c)}, cast(null as double)) as {_name(c)}" if c in floats else _name(c)
+            for c in df.columns
+        ]
     )
-    helpers = [f"_lag_{c}" for c in values] + [f"_ewm_{c}" for c in values]
-    return layout.finish(done.drop("_row", "_segment", *helpers))
 
 
 def rest_days(

@@ -142,11 +142,9 @@ class Layout:
         extra = [BLOCK] * self.split + [SPREAD] * self.has_null_keys
         return [*self.keys, *extra]
 
-    def known(self, value: Column) -> Column:
-        """``value`` where the key is known, else NULL."""
-        if not self.has_null_keys:
-            return value
-        return F.when(F.col(SPREAD) == 0, value)
+    def known_sql(self, value: str) -> str:
+        """SQL text of ``value`` where the key is known, else NULL."""
+        return f"case when {SPREAD} = 0 then {value} end" if self.has_null_keys else value
 
     def window(self) -> WindowSpec:
         return Window.partitionBy(*self.partition).orderBy(*self.order)

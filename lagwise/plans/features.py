@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lagwise.functions import aggregates as A
 from lagwise.functions import scalars as X
-from lagwise.functions.aggregates import ratio_of_sums
 from lagwise.operators.aggregates import pivot_first
 from lagwise.operators.clean import as_numbers
 from lagwise.operators.intervals import stint_state
@@ -121,8 +121,8 @@ def hand_rates(batters: DataFrame, starters: DataFrame) -> DataFrame:
         batters.join(hands, ["game_pk", "pitcher_id"])
         .groupBy("game_pk", "opponent_team", "pitcher_hand")
         .agg(
-            X.ratio(F.sum("strikeouts"), F.sum("plate_appearances")).alias("team_k_rate"),
-            ratio_of_sums("ops", "plate_appearances").alias("team_ops"),
+            F.expr(A.ratio("sum(strikeouts)", "sum(plate_appearances)")).alias("team_k_rate"),
+            F.expr(A.ratio_of_sums("ops", "plate_appearances")).alias("team_ops"),
         )
     )
 

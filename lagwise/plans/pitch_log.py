@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterable, Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagwise.functions import aggregates as A
-from lagwise.functions.scalars import any_of, flag, is_true, ratio
 from lagwise.operators.clean import existing
 from lagwise.operators.joins import only_listed
-from lagwise.operators.sequence import MAX_ROWS_PER_TASK, Layout, lay_out
+from lagwise.operators.sequence import MAX_ROWS_PER_TASK, lay_out
 from lagwise.plans import baseball as B
 
 STARTER_PITCHES = 30
 STARTER_INNING = 3
 
+_STRIKEOUT = A.one_of("events", B.STRIKEOUTS)
+_FIELDING = "case when inning_topbot = 'Top' then home_team else away_team end"
+_BATTING = "case when inning_topbot = 'Top' then away_team else home_team end"
+
+
+def _aggregates(metrics: Mapping[str, str]) -> list[Column]:
+    return [F.expr(e).alias(n) for n, e in metrics.items()]
 
-def _is_starter(min_pitches: int, min_inning: int) -> Column:
-    return (F.min("inning") == 1) & (F.count("*") > min_pitches) & (F.max("inning") > min_inning)
+
+def _starter_rule(min_pitches: int, min_inning: int) -> str:
+    return f"min(inning) = 1 and count(*) > {int(min_pitches)} and max(inning) > {int(min_inning)}"
 
 
 def starters(
@@ -27,70 +36,59 @@ def starters(
     pitches and went past ``min_inning`` innings."""
     return (
         pitches.groupBy("game_pk", "pitcher")
-        .agg(_is_starter(min_pitches, min_inning).alias("_keep"))
+        .agg(F.expr(_starter_rule(min_pitches, min_inning)).alias("_keep"))
         .where("_keep")
         .select("game_pk", "pitcher")
     )
 
 
-def _ordered(
-    df: DataFrame, keys: list[str], max_rows: int | None
-) -> tuple[DataFrame, Layout]:
+def _ordered(df: DataFrame, keys: list[str], max_rows: int | None) -> DataFrame:
     """Rows with marks for the first row of the group and the last pitch of an at-bat,
     the next pitch type, and whether the at-bat had a runner on base."""
     layout = lay_out(df, keys, ["at_bat_number", "pitch_number"], before=1, after=1, max_rows=max_rows)
-    w = layout.window()
-    rows = layout.df.withColumns(
-        {
-            "_first": F.lag("at_bat_number").over(w).isNull(),
-            "_next_at_bat": F.lead("at_bat_number").over(w),
-            **({"_next_type": F.lead("pitch_type").over(w)} if "pitch_type" in df.columns else {}),
-        }
-    )
-    rows = rows.withColumns(
-        {
-            "_has_next": F.col("_next_at_bat").isNotNull(),
-            "_last": F.col("_next_at_bat").isNull() | (F.col("_next_at_bat") != F.col("at_bat_number")),
-        }
+    over = f"over (partition by {', '.join(layout.partition)} order by at_bat_number, pitch_number)"
+    marks = [f"lag(at_bat_number) {over} is null as _first", f"lead(at_bat_number) {over} as _next_at_bat"]
+    if "pitch_type" in df.columns:
+        marks.append(f"lead(pitch_type) {over} as _next_type")
+    runners = None
+    if {"on_1b", "on_2b", "on_3b", "woba_value", "woba_denom"} <= set(df.columns):
+        runners = "max(on_1b is not null or on_2b is not null or on_3b is not null)"
+    if runners and not layout.split:
+        marks.append(f"{runners} over (partition by {', '.join(keys)}, at_bat_number) as _runners")
+    rows = layout.df.selectExpr("*", *marks).selectExpr(
+        "*",
+        "_next_at_bat is not null as _has_next",
+        "_next_at_bat is null or _next_at_bat != at_bat_number as _last",
     )
-    bases = [c for c in ("on_1b", "on_2b", "on_3b") if c in df.columns]
-    if len(bases) == 3 and {"woba_value", "woba_denom"} <= set(df.columns):
-        occupied = F.lit(False)
-        for c in bases:
-            occupied = occupied | F.col(c).isNotNull()
-        if layout.split:
-            # A block may cut an at-bat, so ask the at-bat itself.
-            at_bats = layout.finish(layout.df).groupBy(*keys, "at_bat_number").agg(F.max(occupied).alias("_runners"))
-            rows = rows.join(at_bats, [*keys, "at_bat_number"], "left")
-        else:
-            rows = rows.withColumn("_runners", F.max(occupied).over(Window.partitionBy(*keys, "at_bat_number")))
-    return layout.finish(rows), layout
-
-
-def _two_strike_rate(df: DataFrame, out: Column) -> Column:
-    if "strikes" not in df.columns:
-        return F.lit(None).cast("double")
-    return A.share_within(out, F.col("_last") & (F.col("strikes") == 2))
-
-
-def _high_leverage_rate(df: DataFrame, out: Column) -> Column:
-    present = set(df.columns)
+    if runners and layout.split:
+        # A block may cut an at-bat, so ask the at-bat itself.
+        at_bats = layout.finish(layout.df).groupBy(*keys, "at_bat_number").agg(F.expr(runners).alias("_runners"))
+        rows = rows.join(at_bats, [*keys, "at_bat_number"], "left")
+    return layout.finish(rows)
+
+
+def _first(value: str) -> str:
+    return f"max(case when _first then {value} end)"
+
+
+def _situations(columns: Iterable[str]) -> dict[str, str]:
+    """Strikeout shares in two-strike and high-leverage at-bats, wOBA with runners on."""
+    present = set(columns)
     if "leverage_index" in present:
-        tense = F.col("leverage_index") >= 1.5
+        tense = "leverage_index >= 1.5D"
     elif {"home_score", "away_score", "inning"} <= present:
-        tense = (F.col("inning") >= 7) & (F.abs(F.col("home_score") - F.col("away_score")) <= 1)
+        tense = "inning >= 7 and abs(home_score - away_score) <= 1"
     else:
-        return F.lit(None).cast("double")
-    return A.share_within(out, F.col("_last") & tense)
-
-
-def _runners_on_woba(df: DataFrame) -> Column:
-    if "_runners" not in df.columns:
-        return F.lit(None).cast("double")
-    return ratio(
-        F.sum(F.when(F.col("_runners"), F.col("woba_value"))),
-        F.sum(F.when(F.col("_runners"), F.col("woba_denom"))),
-    )
+        tense = None
+    return {
+        "two_strike_k_rate": A.share_within(_STRIKEOUT, "_last and strikes = 2") if "strikes" in present else A.missing(),
+        "high_leverage_k_rate": A.share_within(_STRIKEOUT, f"_last and {tense}") if tense else A.missing(),
+        "woba_runners_on": A.ratio(
+            "sum(case when _runners then woba_value end)", "sum(case when _runners then woba_denom end)"
+        )
+        if "_runners" in present
+        else A.missing(),
+    }
 
 
 def pitcher_games(
@@ -106,70 +104,59 @@ def pitcher_games(
     """
     optional = [c for c in ("barrel", "leverage_index") if c in pitches.columns]
     source = existing(pitches, [*B.PITCHER_COLUMNS, *optional])
-    rows, _ = _ordered(source, ["game_pk", "pitcher"], max_rows)
+    rows = _ordered(source, ["game_pk", "pitcher"], max_rows)
     present = set(source.columns)
-    kind = F.col("pitch_type")
-    text = F.coalesce(F.col("description"), F.lit(""))
-    strikeout = any_of("events", B.STRIKEOUTS)
-    swinging = text.contains("swinging_strike")
-    fastball = any_of(kind, B.FASTBALL_TYPES)
-    fastball_only = any_of(kind, [t for t in B.FASTBALL_TYPES if t not in B.OFFSPEED_TYPES])
-    offspeed_only = any_of(kind, [t for t in B.OFFSPEED_TYPES if t not in B.FASTBALL_TYPES])
-    in_play = is_true(F.col("type") == "X")
+    swinging = "contains(description, 'swinging_strike')"
+    fastball_only = A.one_of("pitch_type", [t for t in B.FASTBALL_TYPES if t not in B.OFFSPEED_TYPES])
+    offspeed_only = A.one_of("pitch_type", [t for t in B.OFFSPEED_TYPES if t not in B.FASTBALL_TYPES])
     if "zone" in present:
-        in_zone = is_true(F.col("zone").between(1, 9))
+        in_zone = "coalesce(zone between 1 and 9, false)"
     elif {"plate_x", "plate_z"} <= present:
-        in_zone = is_true(F.col("plate_x").between(-0.83, 0.83) & F.col("plate_z").between(1.5, 3.5))
+        in_zone = "coalesce(plate_x between -0.83D and 0.83D and plate_z between 1.5D and 3.5D, false)"
     else:
         in_zone = None
-    missing = F.lit(None).cast("double")
 
-    def mean(c: str) -> Column:
-        return F.avg(c) if c in present else missing
+    def mean(c: str) -> str:
+        return f"avg({c})" if c in present else A.missing()
 
-    def in_play_of(aggregate, c: str) -> Column:
-        return aggregate(F.when(in_play, F.col(c))) if c in present else missing
+    def in_play(aggregate: str, c: str) -> str:
+        return f"{aggregate}(case when type = 'X' then {c} end)" if c in present else A.missing()
 
     if "barrel" in present:
-        barrel = F.avg(F.when(in_play, F.col("barrel")))
+        barrel = in_play("avg", "barrel")
     elif {"launch_speed", "launch_angle"} <= present:
-        barrel = A.share_within(F.col("launch_angle").between(26, 30) & (F.col("launch_speed") >= 98), in_play)
+        barrel = A.share_within("launch_angle between 26 and 30 and launch_speed >= 98", "type = 'X'")
     else:
-        barrel = missing
-    innings = F.count_distinct("inning")
-    top = F.col("inning_topbot") == "Top"
-
-    def first(c: Column | str) -> Column:
-        return F.max(F.when(F.col("_first"), c))
-
+        barrel = A.missing()
+    walked = A.one_of("events", [*B.WALKS, "hit_by_pitch"])
     metrics = {
-        "game_date": first("game_date"),
-        "pitcher_hand": first("p_throws"),
-        "pitching_team": first(F.when(top, F.col("home_team")).otherwise(F.col("away_team"))),
-        "opponent_team": first(F.when(top, F.col("away_team")).otherwise(F.col("home_team"))),
-        "pitches": F.count("*"),
-        "innings_pitched": innings,
-        "batters_faced": F.count_distinct("batter"),
-        "strikeouts": F.count_if(strikeout),
+        "game_date": _first("game_date"),
+        "pitcher_hand": _first("p_throws"),
+        "pitching_team": _first(_FIELDING),
+        "opponent_team": _first(_BATTING),
+        "pitches": "count(*)",
+        "innings_pitched": "count(distinct inning)",
+        "batters_faced": "count(distinct batter)",
+        "strikeouts": f"count_if({_STRIKEOUT})",
         "swinging_strike_rate": A.share(swinging),
-        "first_pitch_strike_rate": A.share_within(F.col("type") == "S", F.col("pitch_number") == 1),
-        "csw_pct": A.share(swinging | text.isin("called_strike", "foul_tip")),
+        "first_pitch_strike_rate": A.share_within("type = 'S'", "pitch_number = 1"),
+        "csw_pct": A.share(f"{swinging} or description in ('called_strike', 'foul_tip')"),
         "fastball_pct": A.share(fastball_only),
-        "offspeed_to_fastball_ratio": ratio(F.count_if(offspeed_only), F.count_if(fastball_only)),
+        "offspeed_to_fastball_ratio": A.ratio(f"count_if({offspeed_only})", f"count_if({fastball_only})"),
         "fastball_then_breaking_rate": A.share_within(
-            fastball & any_of("_next_type", B.BREAKING_TYPES), F.col("_has_next")
+            f"{A.one_of('pitch_type', B.FASTBALL_TYPES)} and {A.one_of('_next_type', B.BREAKING_TYPES)}", "_has_next"
         ),
         "avg_release_speed": mean("release_speed"),
-        "max_release_speed": F.max("release_speed"),
+        "max_release_speed": "max(release_speed)",
         "avg_spin_rate": mean("release_spin_rate"),
-        "unique_pitch_types": F.count_distinct("pitch_type"),
-        "zone_pct": missing if in_zone is None else A.share(in_zone),
-        "chase_rate": missing if in_zone is None else A.share_within(F.lower(text).contains("swing"), ~in_zone),
-        "avg_launch_speed": in_play_of(F.avg, "launch_speed"),
-        "max_launch_speed": in_play_of(F.max, "launch_speed"),
-        "avg_launch_angle": in_play_of(F.avg, "launch_angle"),
-        "max_launch_angle": in_play_of(F.max, "launch_angle"),
-        "hard_hit_rate": A.share_within(F.col("launch_speed") >= 95, in_play) if "launch_speed" in present else missing,
+        "unique_pitch_types": "count(distinct pitch_type)",
+        "zone_pct": A.share(in_zone) if in_zone else A.missing(),
+        "chase_rate": A.share_within("contains(lower(description), 'swing')", f"not {in_zone}") if in_zone else A.missing(),
+        "avg_launch_speed": in_play("avg", "launch_speed"),
+        "max_launch_speed": in_play("max", "launch_speed"),
+        "avg_launch_angle": in_play("avg", "launch_angle"),
+        "max_launch_angle": in_play("max", "launch_angle"),
+        "hard_hit_rate": A.share_within("launch_speed >= 95", "type = 'X'") if "launch_speed" in present else A.missing(),
         "barrel_rate": barrel,
         "pfx_x": mean("pfx_x"),
         "pfx_z": mean("pfx_z"),
@@ -177,34 +164,28 @@ def pitcher_games(
         "release_height": mean("release_pos_z"),
         "plate_x": mean("plate_x"),
         "plate_z": mean("plate_z"),
-        "fip": ratio(
-            13 * A.count_where(F.col("events") == "home_run")
-            + 3 * F.count_if(any_of("events", [*B.WALKS, "hit_by_pitch"]))
-            - 2 * F.count_if(strikeout),
-            innings,
+        "fip": A.ratio(
+            f"(13 * count_if(events = 'home_run') + 3 * count_if({walked}) - 2 * count_if({_STRIKEOUT}))",
+            "count(distinct inning)",
         ),
     }
     for name, types in B.PITCH_CLASSES.items():
-        chosen = any_of(kind, types)
-        metrics[f"{name}_pct"] = A.share(chosen)
-        metrics[f"{name}_whiff_rate"] = A.share_within(swinging, chosen)
+        metrics[f"{name}_pct"] = A.share(A.one_of("pitch_type", types))
+        metrics[f"{name}_whiff_rate"] = A.share_within(swinging, A.one_of("pitch_type", types))
     metrics["fastball_whiff_rate"] = A.share_within(swinging, fastball_only)
-    metrics["two_strike_k_rate"] = _two_strike_rate(rows, strikeout)
-    metrics["high_leverage_k_rate"] = _high_leverage_rate(rows, strikeout)
-    metrics["woba_runners_on"] = _runners_on_woba(rows)
-    keep = F.lit(True) if min_pitches is None else _is_starter(min_pitches, min_inning)
-    games = (
-        rows.groupBy("game_pk", "pitcher")
-        .agg(*[e.alias(n) for n, e in metrics.items()], keep.alias("_keep"))
-        .where("_keep")
-        .drop("_keep")
-    )
-    return games.select("game_pk", "game_date", F.col("pitcher").alias("pitcher_id"), *[n for n in metrics if n != "game_date"])
+    metrics |= _situations(rows.columns)
+    keep = "true" if min_pitches is None else _starter_rule(min_pitches, min_inning)
+    games = rows.groupBy("game_pk", "pitcher").agg(*_aggregates({**metrics, "_keep": f"first({keep})" if keep == "true" else keep}))
+    rest = [n for n in metrics if n != "game_date"]
+    return games.where("_keep").select("game_pk", "game_date", F.col("pitcher").alias("pitcher_id"), *rest)
+
 
+def _obp(p: str = "") -> str:
+    return A.ratio(f"({p}hits + {p}walks + {p}hbp)", f"{p}plate_appearances")
 
-def _slugging(singles: str, doubles: str, triples: str, homers: str, at_bats: str) -> Column:
-    bases = F.col(singles) + 2 * F.col(doubles) + 3 * F.col(triples) + 4 * F.col(homers)
-    return ratio(bases, at_bats)
+
+def _slugging(p: str = "") -> str:
+    return A.ratio(f"({p}singles + 2 * {p}doubles + 3 * {p}triples + 4 * {p}home_runs)", f"{p}at_bats")
 
 
 def batter_games(
@@ -217,66 +198,48 @@ def batter_games(
     if starter_pairs is not None:
         source = only_listed(source, starter_pairs, ["game_pk", "pitcher"])
     keys = ["game_pk", "pitcher", "batter"]
-    rows, _ = _ordered(source, keys, max_rows)
-    last = F.col("_last")
-    strikeout = any_of("events", B.STRIKEOUTS)
-    text = F.lower(F.coalesce(F.col("description"), F.lit("")))
-    top = F.col("inning_topbot") == "Top"
-
-    def ends(*events: str) -> Column:
-        return F.count_if(last & any_of("events", list(events)))
+    rows = _ordered(source, keys, max_rows)
 
-    def first(c: Column | str) -> Column:
-        return F.max(F.when(F.col("_first"), c))
+    def ends(*events: str) -> str:
+        return f"count_if(_last and {A.one_of('events', events)})"
 
+    has_woba = {"woba_value", "woba_denom"} <= set(rows.columns)
     counted = rows.groupBy(*keys).agg(
-        first("stand").alias("stand"),
-        first(F.when(top, F.col("home_team")).otherwise(F.col("away_team"))).alias("pitching_team"),
-        first(F.when(top, F.col("away_team")).otherwise(F.col("home_team"))).alias("opponent_team"),
-        F.count_if(last).alias("plate_appearances"),
-        F.count_if(last & ~any_of("events", B.NOT_AT_BATS)).alias("at_bats"),
-        F.count("*").alias("pitches"),
-        F.count_if(text.contains("swing")).alias("swings"),
-        F.count_if(text.contains("swinging_strike")).alias("whiffs"),
-        A.share(F.col("description") == "called_strike").alias("called_strike_rate"),
-        F.count_if(last & strikeout).alias("strikeouts"),
-        A.share_within(strikeout, last & (F.col("strikes") > F.col("balls"))).alias("strikeout_rate_behind"),
-        A.share_within(strikeout, last & (F.col("balls") > F.col("strikes"))).alias("strikeout_rate_ahead"),
-        ends(*B.HITS).alias("hits"),
-        ends("single").alias("singles"),
-        ends("double").alias("doubles"),
-        ends("triple").alias("triples"),
-        ends("home_run").alias("home_runs"),
-        ends(*B.WALKS).alias("walks"),
-        ends("hit_by_pitch").alias("hbp"),
-        _two_strike_rate(rows, strikeout).alias("two_strike_k_rate"),
-        _high_leverage_rate(rows, strikeout).alias("high_leverage_k_rate"),
-        _runners_on_woba(rows).alias("woba_runners_on"),
-        (
-            ratio(F.sum("woba_value"), F.sum("woba_denom"))
-            if {"woba_value", "woba_denom"} <= set(rows.columns)
-            else F.lit(None).cast("double")
-        ).alias("woba"),
+        *_aggregates(
+            {
+                "stand": _first("stand"),
+                "pitching_team": _first(_FIELDING),
+                "opponent_team": _first(_BATTING),
+                "plate_appearances": "count_if(_last)",
+                "at_bats": f"count_if(_last and not {A.one_of('events', B.NOT_AT_BATS)})",
+                "pitches": "count(*)",
+                "swings": "count_if(contains(lower(description), 'swing'))",
+                "whiffs": "count_if(contains(lower(description), 'swinging_strike'))",
+                "called_strike_rate": A.share("description = 'called_strike'"),
+                "strikeouts": f"count_if(_last and {_STRIKEOUT})",
+                "strikeout_rate_behind": A.share_within(_STRIKEOUT, "_last and strikes > balls"),
+                "strikeout_rate_ahead": A.share_within(_STRIKEOUT, "_last and balls > strikes"),
+                "hits": ends(*B.HITS),
+                "singles": ends("single"),
+                "doubles": ends("double"),
+                "triples": ends("triple"),
+                "home_runs": ends("home_run"),
+                "walks": ends(*B.WALKS),
+                "hbp": ends("hit_by_pitch"),
+                **_situations(rows.columns),
+                "woba": A.ratio("sum(woba_value)", "sum(woba_denom)") if has_woba else A.missing(),
+            }
+        )
     )
-    on_base = F.col("hits") + F.col("walks") + F.col("hbp")
-    rated = counted.withColumns(
-        {
-            "whiff_rate": ratio("whiffs", "swings"),
-            "strikeout_rate": ratio("strikeouts", "plate_appearances"),
-            "avg": ratio("hits", "at_bats"),
-            "obp": ratio(on_base, "plate_appearances"),
-            "slugging": _slugging("singles", "doubles", "triples", "home_runs", "at_bats"),
-        }
-    ).withColumn("ops", F.col("obp") + F.col("slugging"))
-    order = [
-        "stand", "pitching_team", "opponent_team", "plate_appearances", "at_bats", "pitches", "swings",
-        "whiffs", "whiff_rate", "called_strike_rate", "strikeouts", "strikeout_rate",
-        "strikeout_rate_behind", "strikeout_rate_ahead", "hits", "singles", "doubles", "triples",
-        "home_runs", "walks", "hbp", "two_strike_k_rate", "high_leverage_k_rate", "woba_runners_on",
-        "avg", "obp", "slugging", "ops", "woba",
-    ]
-    return rated.select(
-        "game_pk", F.col("batter").alias("batter_id"), F.col("pitcher").alias("pitcher_id"), *order
+    return counted.selectExpr(
+        "game_pk", "batter as batter_id", "pitcher as pitcher_id", "stand", "pitching_team", "opponent_team",
+        "plate_appearances", "at_bats", "pitches", "swings", "whiffs",
+        f"{A.ratio('whiffs', 'swings')} as whiff_rate", "called_strike_rate", "strikeouts",
+        f"{A.ratio('strikeouts', 'plate_appearances')} as strikeout_rate",
+        "strikeout_rate_behind", "strikeout_rate_ahead", "hits", "singles", "doubles", "triples", "home_runs",
+        "walks", "hbp", "two_strike_k_rate", "high_leverage_k_rate", "woba_runners_on",
+        f"{A.ratio('hits', 'at_bats')} as avg", f"{_obp()} as obp", f"{_slugging()} as slugging",
+        f"{_obp()} + {_slugging()} as ops", "woba",
     )
 
 
@@ -287,60 +250,46 @@ def team_games(batters: DataFrame) -> DataFrame:
         "plate_appearances", "at_bats", "pitches", "swings", "whiffs", "strikeouts", "hits",
         "singles", "doubles", "triples", "home_runs", "walks", "hbp",
     ]
-    split_sums = [c for c in sums if c not in ("pitches", "swings", "whiffs")]
-    cells = [A.total(c).cast("long").alias(f"bat_{c}") for c in sums]
+    cells = {f"bat_{c}": A.total(c) for c in sums}
     for hand in ("L", "R"):
-        cells += [
-            A.total(F.when(F.col("stand") == hand, F.col(c))).cast("long").alias(f"_{hand}_{c}") for c in split_sums
+        for c in sums:
+            if c not in ("pitches", "swings", "whiffs"):
+                cells[f"bat_{hand}_{c}"] = A.total(f"case when stand = '{hand}' then {c} end")
+    cells["_called"] = A.total("coalesce(called_strike_rate, 0D) * pitches")
+    weighted = {
+        "bat_strikeout_rate_behind": "strikeout_rate_behind",
+        "bat_strikeout_rate_ahead": "strikeout_rate_ahead",
+        "bat_woba": "woba",
+    }
+    cells |= {out: A.weighted_mean(v, "plate_appearances") for out, v in weighted.items()}
+    summed = batters.dropna(subset=keys).groupBy(*keys).agg(*_aggregates(cells))
+    hands = []
+    for p in ("bat_L_", "bat_R_"):
+        hands += [
+            f"{p}plate_appearances",
+            f"{A.ratio(p + 'strikeouts', p + 'plate_appearances')} as {p}strikeout_rate",
+            f"{_obp(p)} + {_slugging(p)} as {p}ops",
         ]
-    summed = (
-        batters.dropna(subset=keys)
-        .groupBy(*keys)
-        .agg(
-            *cells,
-            A.total(F.coalesce(F.col("called_strike_rate"), F.lit(0.0)) * F.col("pitches")).alias("_called"),
-            A.weighted_mean("strikeout_rate_behind", "plate_appearances").alias("bat_strikeout_rate_behind"),
-            A.weighted_mean("strikeout_rate_ahead", "plate_appearances").alias("bat_strikeout_rate_ahead"),
-            A.weighted_mean("woba", "plate_appearances").alias("bat_woba"),
-        )
-    )
-
-    def rates(source: str, prefix: str) -> dict[str, Column]:
-        c = lambda name: F.col(f"{source}{name}")
-        obp = ratio(c("hits") + c("walks") + c("hbp"), c("plate_appearances"))
-        slugging = _slugging(*[f"{source}{x}" for x in ("singles", "doubles", "triples", "home_runs", "at_bats")])
-        return {
-            f"{prefix}strikeout_rate": ratio(c("strikeouts"), c("plate_appearances")),
-            f"{prefix}obp": obp,
-            f"{prefix}slugging": slugging,
-            f"{prefix}ops": obp + slugging,
-        }
-
-    left, right = rates("_L_", "bat_L_"), rates("_R_", "bat_R_")
-    return summed.select(
+    return summed.selectExpr(
         *keys,
         *[f"bat_{c}" for c in sums],
-        ratio("bat_whiffs", "bat_swings").alias("bat_whiff_rate"),
-        ratio("_called", "bat_pitches").alias("bat_called_strike_rate"),
-        "bat_strikeout_rate_behind",
-        "bat_strikeout_rate_ahead",
-        ratio("bat_hits", "bat_at_bats").alias("bat_avg"),
-        "bat_woba",
-        *[e.alias(n) for n, e in rates("bat_", "bat_").items()],
-        F.col("_L_plate_appearances").alias("bat_L_plate_appearances"),
-        left["bat_L_strikeout_rate"].alias("bat_L_strikeout_rate"),
-        left["bat_L_ops"].alias("bat_L_ops"),
-        F.col("_R_plate_appearances").alias("bat_R_plate_appearances"),
-        right["bat_R_strikeout_rate"].alias("bat_R_strikeout_rate"),
-        right["bat_R_ops"].alias("bat_R_ops"),
+        f"{A.ratio('bat_whiffs', 'bat_swings')} as bat_whiff_rate",
+        f"{A.ratio('_called', 'bat_pitches')} as bat_called_strike_rate",
+        f"{A.ratio('bat_strikeouts', 'bat_plate_appearances')} as bat_strikeout_rate",
+        *weighted,
+        f"{A.ratio('bat_hits', 'bat_at_bats')} as bat_avg",
+        f"{_obp('bat_')} as bat_obp",
+        f"{_slugging('bat_')} as bat_slugging",
+        f"{_obp('bat_')} + {_slugging('bat_')} as bat_ops",
+        *hands,
     )
 
 
-def by_hand(df: DataFrame, columns: dict[str, str], hand: str = "pitcher_hand") -> DataFrame:
+def by_hand(df: DataFrame, columns: Mapping[str, str], hand: str = "pitcher_hand") -> DataFrame:
     """``{out}_vs_LHP`` and ``{out}_vs_RHP``: the value for that hand, NULL for the other."""
     return df.withColumns(
         {
-            f"{out}_vs_{side}HP": F.when(F.col(hand) == side, F.col(source))
+            f"{out}_vs_{side}HP": F.expr(f"case when {hand} = '{side}' then {source} end")
             for source, out in columns.items()
             for side in ("L", "R")
         }
@@ -360,24 +309,24 @@ def team_batting(batters: DataFrame, starter_games: DataFrame) -> DataFrame:
 
 def catcher_games(pitches: DataFrame) -> DataFrame:
     """Called-strike rate on taken pitches and called strikes, per (game, catcher, date)."""
-    taken = ~F.lower(F.coalesce(F.col("description"), F.lit(""))).contains("swing")
-    called = F.col("description") == "called_strike"
+    taken = "not coalesce(contains(lower(description), 'swing'), false)"
+    called = "description = 'called_strike'"
     return (
         pitches.dropna(subset=["game_pk", "fielder_2", "game_date"])
         .groupBy("game_pk", "game_date", F.col("fielder_2").alias("catcher_id"))
         .agg(
-            A.share_within(called, taken).alias("called_strike_rate"),
-            A.count_where(called).alias("framing_runs"),
+            *_aggregates(
+                {"called_strike_rate": A.share_within(called, taken), "framing_runs": f"count_if({called})"}
+            )
         )
     )
 
 
 def first_catchers(pitches: DataFrame) -> DataFrame:
     """Catcher of each fielding team at its first pitch of inning 1."""
-    order = F.struct(*[c for c in ("at_bat_number", "pitch_number") if c in pitches.columns])
-    team = F.when(F.col("inning_topbot") == "Top", F.col("home_team")).otherwise(F.col("away_team"))
+    order = f"struct({', '.join(c for c in ('at_bat_number', 'pitch_number') if c in pitches.columns)})"
     return (
         pitches.where("inning = 1")
-        .groupBy("game_pk", team.alias("team"))
-        .agg(A.first_by("fielder_2", order).alias("catcher_id"))
+        .groupBy("game_pk", F.expr(_FIELDING).alias("team"))
+        .agg(F.expr(A.first_by("fielder_2", order)).alias("catcher_id"))
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -48,3 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     )
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lagwise-checkpoint-"))
     return context.getCheckpointDir()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for a table written between two steps."""
+    return f"{ensure_checkpoint_dir(spark)}/lagwise-{name}-{uuid.uuid4().hex}"
