@@ -135,8 +135,6 @@ def pitcher_games(
         "pitching_team": _first(_FIELDING),
         "opponent_team": _first(_BATTING),
         "pitches": "count(*)",
-        "innings_pitched": "count(distinct inning)",
-        "batters_faced": "count(distinct batter)",
         "strikeouts": f"count_if({_STRIKEOUT})",
         "swinging_strike_rate": A.share(swinging),
         "first_pitch_strike_rate": A.share_within("type = 'S'", "pitch_number = 1"),
@@ -149,7 +147,6 @@ def pitcher_games(
         "avg_release_speed": mean("release_speed"),
         "max_release_speed": "max(release_speed)",
         "avg_spin_rate": mean("release_spin_rate"),
-        "unique_pitch_types": "count(distinct pitch_type)",
         "zone_pct": A.share(in_zone) if in_zone else A.missing(),
         "chase_rate": A.share_within("contains(lower(description), 'swing')", f"not {in_zone}") if in_zone else A.missing(),
         "avg_launch_speed": in_play("avg", "launch_speed"),
@@ -164,20 +161,31 @@ def pitcher_games(
         "release_height": mean("release_pos_z"),
         "plate_x": mean("plate_x"),
         "plate_z": mean("plate_z"),
-        "fip": A.ratio(
-            f"(13 * count_if(events = 'home_run') + 3 * count_if({walked}) - 2 * count_if({_STRIKEOUT}))",
-            "count(distinct inning)",
-        ),
+        "_fip_runs": f"13 * count_if(events = 'home_run') + 3 * count_if({walked}) - 2 * count_if({_STRIKEOUT})",
     }
     for name, types in B.PITCH_CLASSES.items():
         metrics[f"{name}_pct"] = A.share(A.one_of("pitch_type", types))
         metrics[f"{name}_whiff_rate"] = A.share_within(swinging, A.one_of("pitch_type", types))
     metrics["fastball_whiff_rate"] = A.share_within(swinging, fastball_only)
     metrics |= _situations(rows.columns)
-    keep = "true" if min_pitches is None else _starter_rule(min_pitches, min_inning)
-    games = rows.groupBy("game_pk", "pitcher").agg(*_aggregates({**metrics, "_keep": f"first({keep})" if keep == "true" else keep}))
-    rest = [n for n in metrics if n != "game_date"]
-    return games.where("_keep").select("game_pk", "game_date", F.col("pitcher").alias("pitcher_id"), *rest)
+    keys = ["game_pk", "pitcher"]
+    games = rows.groupBy(*keys).agg(*_aggregates(metrics))
+    # Distinct counts multiply the rows they are taken over, so they run on narrow rows of
+    # their own. Both sides are placed by the same keys.
+    distinct = {
+        "innings_pitched": "count(distinct inning)",
+        "batters_faced": "count(distinct batter)",
+        "unique_pitch_types": "count(distinct pitch_type)",
+    }
+    rule = {} if min_pitches is None else {"_keep": _starter_rule(min_pitches, min_inning)}
+    counts = source.dropna(subset=keys).groupBy(*keys).agg(*_aggregates({**distinct, **rule}))
+    joined = games.join(counts.where("_keep") if rule else counts, keys)
+    leading = ["pitcher_hand", "pitching_team", "opponent_team", "pitches", *distinct]
+    rest = [n for n in metrics if n not in ("game_date", "_fip_runs", *leading)]
+    return joined.selectExpr(
+        "game_pk", "game_date", "pitcher as pitcher_id", *leading, *rest,
+        f"{A.ratio('_fip_runs', 'innings_pitched')} as fip",
+    )
 
 
 def _obp(p: str = "") -> str:

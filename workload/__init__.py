@@ -1,6 +1,6 @@
 """Registered queries: each runs library operators over the given tables, next to the
 same result in plain SQL."""
 
-from workload import games, sequences
+from workload import featured, games, relations, sequences
 
-MODULES = [sequences, games]
+MODULES = [sequences, relations, games, featured]

@@ -43,7 +43,7 @@ PITCH_LOG = f"""
       case when pitch_number = 4 and k % 23 <> 0 then split_part({ENDS}, ',', cast((k + event_id) % 16 + 1 as int)) end as events,
       case (k + event_id) % 3 when 0 then 'S' when 1 then 'B' else 'X' end as type,
       case when k % 17 <> 0 then k % 14 + 1 end as zone,
-      cast(k as double) / 41 - 1 as plate_x, cast((k * 7) % 50 as double) / 12 as plate_z,
+      cast(k as double) / 41 - 1 as plate_x, cast((k * 7) % 50 as double) / 13 as plate_z,
       case when k % 19 <> 0 then 80 + cast(k % 17 as double) end as release_speed,
       2000 + cast(k * 7 as double) as release_spin_rate,
       cast(k as double) / 50 - 1 as pfx_x, cast((k * 3) % 40 as double) / 21 as pfx_z,
@@ -82,3 +82,33 @@ def pitch_log(spark, sf_dir):
 def box_scores(spark, sf_dir):
     pitch_log(spark, sf_dir).createOrReplaceTempView("pitches")
     return spark.sql(BOX_SCORES)
+
+
+# One row per starting batter and game.
+LINEUPS = """
+    select game_pk, case when inning_topbot = 'Top' then away_team else home_team end as team, batter as batter_id,
+      min((inning - 1) % 9 + 1) as batting_order, min(cast(batter % 13 as double) / 17) as lineup_avg_ops,
+      min(cast((batter + game_pk) % 11 as double) / 31) as projected_k_pct
+    from pitches group by 1, 2, 3"""
+INJURIES = """
+    select 100 + user_id % 24 as player_id, cast(ts as date) as start_date,
+      case when event_id % 3 <> 0 then cast(ts as date) + cast(event_id % 40 as int) end as end_date
+    from events where event_type = 'error' and event_id % 5 = 0"""
+PLAYERS = """
+    select 100 + c_custkey as player_id, cast('1985-01-01' as date) + cast((c_custkey * 37) % 5000 as int) as birth_date
+    from customer"""
+
+
+def lineups(spark, sf_dir):
+    pitch_log(spark, sf_dir).createOrReplaceTempView("pitches")
+    return spark.sql(LINEUPS)
+
+
+def injuries(spark, sf_dir):
+    table(spark, sf_dir, "events").createOrReplaceTempView("events")
+    return spark.sql(INJURIES)
+
+
+def players(spark, sf_dir):
+    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    return spark.sql(PLAYERS)
