@@ -18,11 +18,17 @@ def merge_suffixed(df: DataFrame) -> DataFrame:
     groups: dict[str, list[str]] = {}
     for c in df.columns:
         groups.setdefault(_SUFFIXES.sub("", c), []).append(c)
+    if list(groups) == df.columns:
+        return df
     picked = []
     for base, columns in groups.items():
         columns.sort(key=lambda c: c != base)
-        picked.append((F.coalesce(*columns) if len(columns) > 1 else F.col(columns[0])).alias(base))
-    return df.select(*picked)
+        picked.append(f"coalesce({', '.join(map(_name, columns))}) as {_name(base)}")
+    return df.selectExpr(*picked)
+
+
+def _name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
 
 
 def coalescing_join(
@@ -45,11 +51,11 @@ def coalescing_join(
     right_columns = [c for c in right.columns if not (same_keys and c in on)]
     full = how in ("right", "outer", "full", "fullouter", "full_outer", "right_outer")
     picked = []
-    for c in left.columns:
-        both = c in right_columns or (same_keys and c in on and full)
-        picked.append((F.coalesce(f"l.{c}", f"r.{c}") if both else F.col(f"l.{c}")).alias(c))
-    picked += [F.col(f"r.{c}").alias(c) for c in right_columns if c not in left.columns]
-    return l.join(r, condition, how).select(*picked)
+    for c in map(_name, left.columns):
+        both = c.strip("`") in right_columns or (same_keys and c.strip("`") in on and full)
+        picked.append(f"coalesce(l.{c}, r.{c}) as {c}" if both else f"l.{c}")
+    picked += [f"r.{_name(c)}" for c in right_columns if c not in left.columns]
+    return l.join(r, condition, how).selectExpr(*picked)
 
 
 def shared_keys(df: DataFrame, preferred: Sequence[str], fallback: Sequence[str]) -> list[str]:

@@ -10,10 +10,11 @@ from pyspark.sql import types as T
 
 from lagwise.operators.sequence import (
     MAX_ROWS_PER_TASK,
+    KeySizes,
     drop_null_keys,
-    hot_keys,
     last_before,
     lay_out,
+    measure,
 )
 
 # Half-lives per weight segment: weights stay within 2**64 and whatever lies more than
@@ -41,7 +42,7 @@ def rolling_bundle(
     windows: Sequence[int] = (3, 5, 10, 20, 50),
     halflife: float | None = None,
     prefix: str = "",
-    max_rows: int | None = MAX_ROWS_PER_TASK,
+    max_rows: int | KeySizes | None = MAX_ROWS_PER_TASK,
     keep_null_keys: bool = False,
 ) -> DataFrame:
     """Add mean, sample deviation and momentum over the last k rows, and an
@@ -138,7 +139,7 @@ def rest_days(
     keys: Sequence[str],
     order: Sequence[str],
     out: str = "rest_days",
-    max_rows: int | None = MAX_ROWS_PER_TASK,
+    max_rows: int | KeySizes | None = MAX_ROWS_PER_TASK,
 ) -> DataFrame:
     """Whole days since the key's previous row; ``order[0]`` is the date."""
     layout = lay_out(df, keys, order, before=1, max_rows=max_rows)
@@ -153,7 +154,7 @@ def shifted(
     order: Sequence[str],
     columns: Mapping[str, str],
     offset: int = 1,
-    max_rows: int | None = MAX_ROWS_PER_TASK,
+    max_rows: int | KeySizes | None = MAX_ROWS_PER_TASK,
 ) -> DataFrame:
     """Value ``offset`` rows back (or ahead if negative); ``columns`` maps output to source."""
     back, ahead = max(offset, 0), max(-offset, 0)
@@ -169,7 +170,7 @@ def sum_last_rows(
     keys: Sequence[str],
     order: Sequence[str],
     columns: Mapping[str, tuple[str, int]],
-    max_rows: int | None = MAX_ROWS_PER_TASK,
+    max_rows: int | KeySizes | None = MAX_ROWS_PER_TASK,
 ) -> DataFrame:
     """Sum over the previous n rows; ``columns`` maps output to ``(source, n)``."""
     reach = max(n for _, n in columns.values())
@@ -184,7 +185,7 @@ def sum_last_days(
     keys: Sequence[str],
     date: str,
     columns: Mapping[str, tuple[str, int]],
-    max_rows: int | None = MAX_ROWS_PER_TASK,
+    max_rows: int | KeySizes | None = MAX_ROWS_PER_TASK,
 ) -> DataFrame:
     """Sum over rows dated in ``[d - n, d)``; ``columns`` maps output to ``(source, n)``.
 
@@ -198,7 +199,8 @@ def sum_last_days(
     def frame(n: int, over_day: Column):
         return Window.partitionBy(*keys).orderBy(over_day).rangeBetween(-n, -1)
 
-    if not max_rows or hot_keys(df, keys, max_rows) is None:
+    sizes = measure(df, keys, max_rows)
+    if sizes is None or sizes.hot is None:
         return df.withColumns(
             {out: F.sum(src).over(frame(n, day)) for out, (src, n) in columns.items()}
         )

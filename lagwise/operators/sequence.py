@@ -54,6 +54,21 @@ def hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int = MAX_ROWS_PER_TA
     return F.broadcast(df.sparkSession.createDataFrame(head, counts.schema))
 
 
+@dataclass(frozen=True)
+class KeySizes:
+    """Hot keys found by one look at a table, to be shared by several operators on it."""
+
+    hot: DataFrame | None
+    max_rows: int
+
+
+def measure(df: DataFrame, keys: Sequence[str], max_rows: int | KeySizes | None = MAX_ROWS_PER_TASK) -> KeySizes | None:
+    """Look for hot keys now; ``None`` (no check wanted) and earlier results pass through."""
+    if max_rows is None or isinstance(max_rows, KeySizes):
+        return max_rows
+    return KeySizes(hot_keys(df, keys, max_rows), max_rows)
+
+
 def _order_buckets(df: DataFrame, order: Sequence[str]) -> tuple[Column, Column]:
     """Coarse order bucket and an integer that refines the order inside the bucket."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
@@ -164,12 +179,12 @@ def lay_out(
     order: Sequence[str],
     before: int = 0,
     after: int = 0,
-    max_rows: int | None = MAX_ROWS_PER_TASK,
+    max_rows: int | KeySizes | None = MAX_ROWS_PER_TASK,
     keep_null_keys: bool = False,
 ) -> Layout:
     """Arrange ``df`` for frames reaching ``before`` rows back and ``after`` rows ahead.
 
-    ``max_rows=None`` skips the hot-key check. Rows with a NULL key belong to no group:
+    ``max_rows=None`` skips the hot-key check, ``KeySizes`` reuses an earlier one. Rows with a NULL key belong to no group:
     they are dropped, or with ``keep_null_keys`` kept and spread over many tasks.
     """
     keys, order = tuple(keys), tuple(order)
@@ -181,9 +196,10 @@ def lay_out(
         df = df.withColumn(SPREAD, F.when(unknown, spread).otherwise(0))
     else:
         df = drop_null_keys(df, keys)
-    hot = hot_keys(df, keys, max_rows) if max_rows else None
-    if hot is None:
+    sizes = measure(df, keys, max_rows)
+    if sizes is None or sizes.hot is None:
         return Layout(df, keys, order, False, keep_null_keys)
+    hot, max_rows = sizes.hot, sizes.max_rows
     size = max(max_rows, before, after)
     cold_rows = df.join(hot, list(keys), "left_anti").withColumns(
         {BLOCK: F.lit(0).cast("long"), CORE: F.lit(True), POS: F.lit(None).cast("long")}

@@ -21,7 +21,7 @@ from lagwise.operators.rolling import (
     sum_last_days,
     sum_last_rows,
 )
-from lagwise.operators.sequence import MAX_ROWS_PER_TASK
+from lagwise.operators.sequence import MAX_ROWS_PER_TASK, measure
 from lagwise.plans import baseball as B
 from lagwise.plans.pitch_log import by_hand
 
@@ -84,6 +84,8 @@ def pitcher_features(
     max_rows: int | None = MAX_ROWS_PER_TASK,
 ) -> DataFrame:
     """Calendar, workload, injury, age and rolling columns per starter game."""
+    # Joins below keep the rows as they are, so one look at the keys serves all windows.
+    max_rows = measure(games, ["pitcher_id"], max_rows)
     df = games.withColumn("game_date", F.col("game_date").cast("date"))
     df = season_day(df, "game_date")
     df = df.withColumn("month_bucket", X.month_bucket("game_date"))
@@ -146,9 +148,11 @@ def opponent_features(
     sides = {"bat_ops": "bat_ops", "bat_strikeout_rate": "bat_k_rate"}
     df = by_hand(df, {s: o for s, o in sides.items() if s in df.columns})
     order = ["game_date", "game_pk", "pitcher_id"]
-    df = _bundle(df, ["pitcher_id", "opponent_team"], order, B.CONTEXT_ROLLING, "opp_", windows, halflife, max_rows)
+    pair, side = ["pitcher_id", "opponent_team"], ["opponent_team", "pitcher_hand"]
+    pair_sizes, side_sizes = measure(matchups, pair, max_rows), measure(matchups, side, max_rows)
+    df = _bundle(df, pair, order, B.CONTEXT_ROLLING, "opp_", windows, halflife, pair_sizes)
     hand_values = [c for c in B.TEAM_HAND_ROLLING if c in df.columns]
-    df = _bundle(df, ["opponent_team", "pitcher_hand"], order, hand_values, "team_hand_", windows, halflife, max_rows)
+    df = _bundle(df, side, order, hand_values, "team_hand_", windows, halflife, side_sizes)
     return df.drop(*hand_values)
 
 
@@ -198,7 +202,8 @@ def contextual_features(
     order = ["game_date", "game_pk", "pitcher_id"]
     for key, prefix in (("hp_umpire", "ump_"), ("weather", "wx_"), ("home_team", "venue_")):
         if key in df.columns:
-            df = _bundle(df, [key], order, B.CONTEXT_ROLLING, prefix, windows, halflife, max_rows)
+            sizes = measure(matchups, [key], max_rows)
+            df = _bundle(df, [key], order, B.CONTEXT_ROLLING, prefix, windows, halflife, sizes)
     return df
 
 

@@ -1,6 +1,6 @@
 """Registered queries: each runs library operators over the given tables, next to the
 same result in plain SQL."""
 
-from workload import featured, games, relations, sequences
+from workload import documents, featured, games, modelled, relations, sequences
 
-MODULES = [sequences, relations, games, featured]
+MODULES = [sequences, relations, documents, games, featured, modelled]

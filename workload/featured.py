@@ -58,6 +58,7 @@ def _features_of(games: Games, values, **options):
     )
 
 
+FULL_VALUES = [c for c in B.PITCHER_ROLLING if not c.startswith("batter_")]
 PITCHER_VALUES = ["strikeouts", "fip", "splitter_whiff_rate"]
 CALENDAR = ["days_into_season", "rest_days", "pitches_last_7d", "season_ip_last_30d", "on_il", "days_since_il"]
 
@@ -73,8 +74,9 @@ def pitcher_features(spark, sf_dir):
 
 
 def pitcher_features_full(spark, sf_dir):
-    """All configured columns and windows: 612 rolling columns in one plan."""
-    return tidy(_features_of(Games(spark, sf_dir), B.PITCHER_ROLLING, windows=B.ROLLING_WINDOWS))
+    """All configured columns and windows in one plan."""
+    df = _features_of(Games(spark, sf_dir), B.PITCHER_ROLLING, windows=B.ROLLING_WINDOWS)
+    return tidy(df.select(*IDS, *_names(FULL_VALUES, "", B.ROLLING_WINDOWS)))
 
 
 def workload_features(spark, sf_dir):
@@ -151,7 +153,7 @@ def _matrix(spark, sf_dir):
     history = features.pair_history(g.batters(), g.starters(), windows=(3,), halflife=None)
     joined = matrix.join_features(pitchers, [context.select(*kept)])
     opposing = matrix.opposing_batter_history(
-        g.lineups(), pitchers, history.select(*IDS, "batter_id", "game_date", "batter_so_rate_mean_3")
+        g.lineups(), g.starters(), history.select(*IDS, "batter_id", "game_date", "batter_so_rate_mean_3")
     )
     joined = matrix.coalescing_join(joined, opposing, IDS, "left")
     return stored(spark, joined, "joined")
@@ -285,6 +287,8 @@ def _clip(c: str) -> str:
 ORACLE = {
     "pitcher_features": f"""{_FULL}, x as ({bundle('select * from pitchers', 'pitcher_id', 'game_date, game_pk', PITCHER_VALUES)})
         select {rounded(['pitcher_age', *_names(PITCHER_VALUES)], [*IDS, *CALENDAR], ['game_date'], ['month_bucket'])} from x""",
+    "pitcher_features_full": f"""{_FULL}, x as ({bundle('select * from pitchers', 'pitcher_id', 'game_date, game_pk', FULL_VALUES, '', B.ROLLING_WINDOWS)})
+        select {rounded(_names(FULL_VALUES, '', B.ROLLING_WINDOWS), IDS)} from x""",
     "workload_features": f"""{_FULL} select {rounded([], IDS)}, on_il, days_since_il,
         {i('sum(pitches) over (partition by pitcher_id order by game_date, game_pk rows between 7 preceding and 1 preceding)', 'pitches_last_7_games')},
         {i('sum(innings_pitched) over (partition by pitcher_id order by game_date, game_pk rows between 30 preceding and 1 preceding)', 'ip_last_30_games')}

@@ -53,7 +53,7 @@ PITCH_LOG = f"""
       (event_id + k) % 3 as strikes, k % 4 as balls, k % 5 as home_score, (k + event_id) % 4 as away_score,
       case when k % 3 = 0 then 9000 + k end as on_1b, case when k % 7 = 0 then 9100 + k end as on_2b,
       case when k % 31 = 0 then 9200 + k end as on_3b,
-      case when pitch_number = 4 then cast(k % 5 as double) * 0.41e0 end as woba_value,
+      case when pitch_number = 4 then sqrt(cast(k % 5 as double) + 0.3e0) end as woba_value,
       case when pitch_number = 4 then case when k % 6 = 0 then 0e0 else 1e0 end end as woba_denom,
       case when event_id % 37 <> 0 then 800 + field_no end as fielder_2,
       cast(k % 30 as double) / 10 as leverage_index,
