@@ -44,10 +44,10 @@ PITCH_LOG = f"""
       case (k + event_id) % 3 when 0 then 'S' when 1 then 'B' else 'X' end as type,
       case when k % 17 <> 0 then k % 14 + 1 end as zone,
       cast(k as double) / 41 - 1 as plate_x, cast((k * 7) % 50 as double) / 13 as plate_z,
-      case when k % 19 <> 0 then 80 + cast(k % 17 as double) end as release_speed,
-      2000 + cast(k * 7 as double) as release_spin_rate,
+      case when k % 19 <> 0 then 80 + 3 * sqrt(cast(k % 17 as double) + 0.3e0) end as release_speed,
+      2000 + 10 * sqrt(cast(k * 7 as double) + 0.1e0) as release_spin_rate,
       cast(k as double) / 50 - 1 as pfx_x, cast((k * 3) % 40 as double) / 21 as pfx_z,
-      6 + cast(k % 10 as double) / 7 as release_extension, 5 + cast(k % 9 as double) / 7 as release_pos_z,
+      6 + cast(k % 10 as double) / 7 as release_extension, 5 + sqrt(cast(k % 9 as double) + 0.2e0) as release_pos_z,
       case when k % 13 <> 0 then 70 + cast(k % 40 as double) end as launch_speed,
       case when k % 11 <> 0 then cast((k * 3) % 61 as double) - 20 end as launch_angle,
       (event_id + k) % 3 as strikes, k % 4 as balls, k % 5 as home_score, (k + event_id) % 4 as away_score,
