@@ -92,23 +92,34 @@ def rolling_bundle(
     previous = f"over (partition by {part} order by _segment range between 1 preceding and 1 preceding)"
     fade = repr(2.0 ** (-segment / h)) + "D"
 
-    def level(term: str) -> str:
-        return f"(sum({term}) {inside} + coalesce(sum({term}) {previous} * {fade}, 0D))"
+    # One step per window, in an order where the first sort serves all three.
+    indexed = {c: str(at) for at, c in enumerate(values)}
+    here = numbered.selectExpr(
+        "*",
+        *[f"sum({_name(c)} * _weight) {inside} as _s{at}" for c, at in indexed.items()],
+        *[f"sum(case when {_name(c)} is not null then _weight end) {inside} as _w{at}" for c, at in indexed.items()],
+    )
+    # What a segment adds up to is found at its last row; the weight sum only grows.
+    both = here.selectExpr(
+        "*",
+        *[f"max_by(_s{at}, _row) {previous} as _ps{at}" for at in indexed.values()],
+        *[f"max(_w{at}) {previous} as _pw{at}" for at in indexed.values()],
+    )
+
+    def level(kind: str, at: str) -> str:
+        return f"(_{kind}{at} + coalesce(_p{kind}{at} * {fade}, 0D))"
 
     # Defined on rows that have a value; a NULL row leaves the average unchanged.
-    smoothed = numbered.selectExpr(
-        "*",
+    smoothed = both.selectExpr(
+        *[_name(c) for c in numbered.columns],
         *[
-            layout.known_sql(
-                f"case when {_name(c)} is not null then {level(f'{_name(c)} * _weight')} / "
-                f"{level(f'case when {_name(c)} is not null then _weight end')} end"
-            )
+            layout.known_sql(f"case when {_name(c)} is not null then {level('s', at)} / {level('w', at)} end")
             + f" as {_name('_ewm_' + c)}"
-            for c in values
+            for c, at in indexed.items()
         ],
     )
     outputs = {f"{prefix}{c}_ewm_{tag}": f"_ewm_{c}" for c in values}
-    done = last_before(layout, smoothed, outputs)
+    done = last_before(layout, smoothed, outputs, order=["_segment", "_row"])
     hidden = {"_row", "_segment", "_weight", *outputs.values(), *[f"_lag_{c}" for c in values], *outputs}
     visible = [_name(c) for c in done.columns if c not in hidden]
     ewm = []

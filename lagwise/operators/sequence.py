@@ -34,7 +34,10 @@ _LEAD, _TIE, _SUB = "_lead", "_tie", "_sub"
 
 
 def drop_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.dropna(subset=list(keys)) if keys else df
+    # Plain IS NOT NULL conditions reach the Parquet filter; dropna does not.
+    for k in keys:
+        df = df.where(F.col(k).isNotNull())
+    return df
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int = MAX_ROWS_PER_TASK) -> DataFrame | None:
@@ -223,13 +226,17 @@ def lay_out(
     return Layout(cold_rows.unionByName(hot_rows), keys, order, True, keep_null_keys)
 
 
-def last_before(layout: Layout, df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+def last_before(
+    layout: Layout, df: DataFrame, columns: Mapping[str, str], order: Sequence[str] | None = None
+) -> DataFrame:
     """Last non-NULL value over all earlier rows of the key, however far back.
 
     ``columns`` maps an output name to its source. ``df`` is ``layout.df``, perhaps with
-    columns added.
+    columns added. ``order`` names columns that sort like the layout's order, for rows
+    that are already sorted by them.
     """
-    frame = layout.window().rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*layout.partition).orderBy(*order) if order else layout.window()
+    frame = w.rowsBetween(Window.unboundedPreceding, -1)
     local = {
         out: F.last(layout.core(F.col(source)), ignorenulls=True).over(frame)
         for out, source in columns.items()
