@@ -128,14 +128,15 @@ def with_positions(
     )
     # One row per (key, bucket, sub bucket): small next to the data.
     running = Window.partitionBy(*keys).orderBy(_LEAD, _SUB).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_start", F.coalesce(F.sum("count").over(running), F.lit(0)))
+    starts = counts.withColumn("_start", F.coalesce(F.sum("count").over(running), F.lit(0))).drop("count")
+    head = starts.limit(BROADCAST_ROWS + 1).collect()
+    small = len(head) <= BROADCAST_ROWS
+    if small:
+        starts = df.sparkSession.createDataFrame(head, starts.schema)
     table = starts.groupBy(*bucket, "_min", "_width").agg(
         F.map_from_entries(F.collect_list(F.struct(_SUB, "_start"))).alias("_starts")
     )
-    head = table.limit(BROADCAST_ROWS + 1).collect()
-    if len(head) <= BROADCAST_ROWS:
-        table = F.broadcast(df.sparkSession.createDataFrame(head, table.schema))
-    located = rows.join(table, bucket).withColumn(_SUB, sub)
+    located = rows.join(F.broadcast(table) if small else table, bucket).withColumn(_SUB, sub)
     group = bucket + [_SUB]
     # Explicit: a shuffle join would leave rows placed by bucket, not by sub bucket.
     located = located.withColumn("_start", F.col("_starts")[F.col(_SUB)]).drop("_starts").repartition(*group)
@@ -205,7 +206,7 @@ def lay_out(
     hot, max_rows = sizes.hot, sizes.max_rows
     size = max(max_rows, before, after)
     cold_rows = df.join(hot, list(keys), "left_anti").withColumns(
-        {BLOCK: F.lit(0).cast("long"), CORE: F.lit(True), POS: F.lit(None).cast("long")}
+        {BLOCK: F.lit(-1).cast("long"), CORE: F.lit(True), POS: F.lit(None).cast("long")}
     )
     placed = with_positions(df.join(hot, list(keys), "left_semi"), keys, order, max_rows)
     own = F.expr(f"{POS} div {size}")
@@ -244,11 +245,13 @@ def last_before(
     if not layout.split:
         return df.withColumns(local)
 
-    # One summary per block of a hot key, carried over the blocks before each block.
+    # One summary per block of a hot key, carried over the blocks before each block. The
+    # block condition passes below the windows, so ordinary keys are not computed twice.
     keys = list(layout.keys)
     past = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     summaries = (
-        df.where(F.col(CORE) & F.col(POS).isNotNull())
+        df.where(F.col(BLOCK) >= 0)
+        .where(CORE)
         .groupBy(*keys, BLOCK)
         .agg(
             *[

@@ -142,6 +142,17 @@ def test_quantiles_match_pandas_and_skip_missing(spark):
         assert got[c] == pytest.approx([pdf[c].quantile(0.01), pdf[c].quantile(0.99)])
 
 
+@pytest.mark.parametrize("budget", [50, 3000])
+def test_quantiles_are_exact_when_values_cannot_all_be_counted(spark, budget):
+    rng = np.random.default_rng(0)
+    pdf = pd.DataFrame({"a": rng.normal(size=20_000), "b": np.where(rng.random(20_000) < 0.7, 3.0, rng.random(20_000)), "c": 1.0})
+    pdf.loc[:3000, "a"] = np.nan
+    probabilities = (0.0, 0.01, 0.5, 0.99, 1.0)
+    got = G.column_quantiles(spark.createDataFrame(pdf), ["a", "b", "c"], probabilities, budget=budget)
+    for c in "abc":
+        assert got[c] == pytest.approx([pdf[c].quantile(p) for p in probabilities], rel=1e-9)
+
+
 # --- encodings ---------------------------------------------------------------------
 
 def test_mean_target_encoding(spark):

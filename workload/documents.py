@@ -88,7 +88,7 @@ def lineup_documents(spark, sf_dir):
 
 
 def _schedules(spark, sf_dir):
-    """One schedule document per day: orders as games."""
+    """Schedule documents with up to eight games of a day: orders as games."""
     game = F.expr(
         "named_struct('gamePk', o_orderkey, 'teams', named_struct("
         "'away', named_struct('team', named_struct('id', 1 + o_orderkey % 30, 'abbreviation', 'AAA'),"
@@ -96,7 +96,9 @@ def _schedules(spark, sf_dir):
         "'home', named_struct('team', named_struct('id', 1 + o_orderkey % 29, 'abbreviation', 'HHH'),"
         "  'probablePitcher', named_struct('id', 1 + o_custkey % 50, 'fullName', case when o_orderkey % 11 <> 0 then concat('Q', o_orderkey) end))))"
     )
-    days = orders(spark, sf_dir).groupBy("day").agg(F.collect_list(game).alias("games"))
+    # Keys are unique, so a document holds at most eight games.
+    parts = orders(spark, sf_dir).groupBy("day", F.expr("o_orderkey div 8").alias("part"))
+    days = parts.agg(F.collect_list(game).alias("games"))
     return days.select(F.col("day").alias("game_date"), F.to_json(_struct(dates=F.array(F.struct("games")))).alias("body"))
 
 
@@ -114,13 +116,14 @@ def schedule_names(spark, sf_dir):
 
 
 def transaction_stints(spark, sf_dir):
-    """Transaction documents (one per day) to stints."""
+    """Transaction documents (up to 16 transactions of a day) to stints."""
     deal = F.expr(
         "named_struct('playerId', user_id, 'transactionDate', cast(to_date(ts) as string), 'description',"
         " case event_type when 'signup' then 'Placed RHP on the 15-day Injured List' when 'error' then 'Reinstated from the injured list'"
         " when 'click' then 'Signed to the injured list' else 'Optioned' end)"
     )
-    days = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.collect_list(deal).alias("transactions"))
+    parts = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day"), F.expr("event_id div 16").alias("part"))
+    days = parts.agg(F.collect_list(deal).alias("transactions"))
     docs = days.select(F.to_json(F.struct("transactions")).alias("body"))
     # One action per player and day, so that the order inside a day is settled.
     daily = nested.injury_events(docs).groupBy("player_id", "date").agg(F.min("action").alias("action"))
@@ -128,18 +131,19 @@ def transaction_stints(spark, sf_dir):
 
 
 def odds_lines(spark, sf_dir):
-    """Orders as events, their lines as outcomes of two markets."""
-    outcome = F.expr(
-        "named_struct('name', concat('Player ', l_suppkey, case l_returnflag when 'R' then ' Over 5.5' when 'A' then ' Under 5.5' else '' end),"
-        " 'price', l_quantity, 'point', nullif(l_linenumber, 3) + 0.5D, 'line', 9.5D)"
+    """Lines as events: one bookmaker, two markets, two outcomes each."""
+    outcome = (
+        "named_struct('name', concat('Player ', l_suppkey, {suffix}), 'price', {price},"
+        " 'point', nullif(l_linenumber, 3) + 0.5D, 'line', 9.5D)"
     )
-    books = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(outcome).alias("outcomes"))
-    book = F.expr(
-        "array(named_struct('title', 'Book', 'last_update', 'u', 'markets', array("
-        "named_struct('key', 'player_strikeouts', 'outcomes', outcomes), named_struct('key', 'other', 'outcomes', outcomes))))"
+    by_flag = "case l_returnflag when 'R' then ' Over 5.5' when 'A' then ' Under 5.5' else '' end"
+    outcomes = f"array({outcome.format(suffix=by_flag, price='l_quantity')}, {outcome.format(suffix=repr(' Under 7'), price='l_tax')})"
+    book = (
+        "array(named_struct('title', 'Book', 'last_update', l_linestatus, 'markets', array("
+        f"named_struct('key', 'player_strikeouts', 'outcomes', {outcomes}), named_struct('key', 'other', 'outcomes', {outcomes}))))"
     )
-    event = F.struct(F.col("l_orderkey").cast("string").alias("id"), F.lit("t").alias("commence_time"), book.alias("bookmakers"))
-    docs = books.select(F.to_json(F.array(event)).alias("body"))
+    event = F.expr(f"array(named_struct('id', cast(l_orderkey as string), 'commence_time', 't', 'bookmakers', {book}))")
+    docs = table(spark, sf_dir, "lineitem").select(F.to_json(event).alias("body"))
     return tidy(nested.odds_rows(docs).drop("inserted_at"))
 
 
@@ -172,7 +176,9 @@ ORACLE = {
           from events where event_type in ('signup', 'error') and user_id <> 0 group by 1, 2),
         p as (select *, lead(action) over w as nxt, lead(day) over w as nxt_day from m window w as (partition by user_id order by day))
         select user_id as player_id, {d('day', 'start_date')}, {d('nxt_day', 'end_date')} from p where action = 'start' and (nxt is null or nxt = 'end')""",
-    "odds_lines": f"""select l_orderkey::varchar as event_id, 't' as commence_time, 'Book' as bookmaker, 'Player ' || l_suppkey as player,
-        {r('coalesce(nullif(l_linenumber, 3) + 0.5, 9.5)', 'line')}, case l_returnflag when 'R' then 'over' when 'A' then 'under' else 'unknown' end as side,
-        {r('l_quantity', 'odds')}, 'u' as last_update from lineitem""",
+    "odds_lines": " union all ".join(
+        f"""select l_orderkey::varchar as event_id, 't' as commence_time, 'Book' as bookmaker, 'Player ' || l_suppkey as player,
+        {r('coalesce(nullif(l_linenumber, 3) + 0.5, 9.5)', 'line')}, {side} as side, {r(price, 'odds')}, l_linestatus as last_update from lineitem"""
+        for side, price in (("case l_returnflag when 'R' then 'over' when 'A' then 'under' else 'unknown' end", "l_quantity"), ("'under'", "l_tax"))
+    ),
 }

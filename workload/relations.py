@@ -180,15 +180,10 @@ def duplicate_report(spark, sf_dir):
 
 
 def quantiles(spark, sf_dir):
-    """Interpolated quantiles of several columns from one pass, one row per column."""
-    rows = table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", "l_discount")
-    found = rows.agg(
-        *[F.percentile(c, F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99))).alias(c) for c in rows.columns]
-    )
-    stacked = found.select(
-        F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c)[0].alias("q01"), F.col(c)[1].alias("q50"), F.col(c)[2].alias("q99")) for c in rows.columns]))
-    )
-    return tidy(stacked, 4)
+    """Interpolated quantiles of several columns, one row per column."""
+    columns = ["l_quantity", "l_extendedprice", "l_discount"]
+    found = G.column_quantiles(table(spark, sf_dir, "lineitem"), columns, (0.01, 0.5, 0.99))
+    return tidy(spark.createDataFrame([(c, *q) for c, q in found.items()], "name string, q01 double, q50 double, q99 double"), 4)
 
 
 def winsor_log(spark, sf_dir):
