@@ -49,12 +49,16 @@ def hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int = MAX_ROWS_PER_TA
     keys = list(keys)
     known = drop_null_keys(df.select(*keys), keys)
     counts = known.groupBy(*keys).count().where(F.col("count") > max_rows).select(*keys)
-    head = counts.limit(BROADCAST_ROWS + 1).collect()
-    if not head:
-        return None
+    hot = _in_hand(counts)
+    return None if hot.isEmpty() else hot
+
+
+def _in_hand(table: DataFrame) -> DataFrame:
+    """A summary table computed once and broadcast if it has few rows, else left as it is."""
+    head = table.limit(BROADCAST_ROWS + 1).collect()
     if len(head) > BROADCAST_ROWS:
-        return counts
-    return F.broadcast(df.sparkSession.createDataFrame(head, counts.schema))
+        return table
+    return F.broadcast(table.sparkSession.createDataFrame(head, table.schema))
 
 
 @dataclass(frozen=True)
@@ -114,29 +118,31 @@ def with_positions(
         F.count("*").alias("_n"), F.min(_TIE).alias("_min"), F.max(_TIE).alias("_max")
     )
     parts = F.ceil(F.col("_n") * 2 / F.lit(max_rows))
-    spans = spans.select(
-        *bucket,
-        "_min",
-        F.ceil((F.col("_max") - F.col("_min") + 1) / parts).cast("long").alias("_width"),
+    spans = _in_hand(
+        spans.select(
+            *bucket,
+            "_min",
+            F.ceil((F.col("_max") - F.col("_min") + 1) / parts).cast("long").alias("_width"),
+        )
     )
     sub = F.expr(f"({_TIE} - _min) div _width")
-    counts = (
-        rows.select(*bucket, _TIE)
-        .join(spans, bucket)
-        .groupBy(*bucket, "_min", "_width", sub.alias(_SUB))
-        .count()
-    )
+    span = [*bucket, "_min", "_width"]
+    while True:
+        counts = _in_hand(rows.select(*bucket, _TIE).join(spans, bucket).groupBy(*span, sub.alias(_SUB)).count())
+        # Where the refining values cluster, equal parts are uneven: cut those finer.
+        uneven = (F.col("_most") > max_rows) & (F.col("_width") > 1)
+        most = counts.groupBy(*span).agg(F.max("count").alias("_most"))
+        if most.where(uneven).isEmpty():
+            break
+        finer = F.greatest(F.lit(1), F.floor(F.col("_width") * max_rows / (F.col("_most") * 2)))
+        spans = _in_hand(
+            most.select(*bucket, "_min", F.when(uneven, finer).otherwise(F.col("_width")).cast("long").alias("_width"))
+        )
     # One row per (key, bucket, sub bucket): small next to the data.
     running = Window.partitionBy(*keys).orderBy(_LEAD, _SUB).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_start", F.coalesce(F.sum("count").over(running), F.lit(0))).drop("count")
-    head = starts.limit(BROADCAST_ROWS + 1).collect()
-    small = len(head) <= BROADCAST_ROWS
-    if small:
-        starts = df.sparkSession.createDataFrame(head, starts.schema)
-    table = starts.groupBy(*bucket, "_min", "_width").agg(
-        F.map_from_entries(F.collect_list(F.struct(_SUB, "_start"))).alias("_starts")
-    )
-    located = rows.join(F.broadcast(table) if small else table, bucket).withColumn(_SUB, sub)
+    table = starts.groupBy(*span).agg(F.map_from_entries(F.collect_list(F.struct(_SUB, "_start"))).alias("_starts"))
+    located = rows.join(_in_hand(table), bucket).withColumn(_SUB, sub)
     group = bucket + [_SUB]
     # Explicit: a shuffle join would leave rows placed by bucket, not by sub bucket.
     located = located.withColumn("_start", F.col("_starts")[F.col(_SUB)]).drop("_starts").repartition(*group)

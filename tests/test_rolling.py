@@ -138,3 +138,14 @@ def test_windows_do_not_cross_keys_or_see_the_future(spark):
     pd.testing.assert_frame_equal(a, b)
     first = a.sort_values(["k", "d", "id"]).groupby("k").head(1)
     assert first["x_mean_3"].isna().all()
+
+
+def test_clustered_order_values_are_cut_evenly(spark):
+    near = spark.range(3000).select(F.col("id"))
+    far = spark.range(5).select((F.col("id") * 10**13 + 10**14).alias("id"))
+    df = near.union(far).select(F.lit(1).alias("k"), F.lit("2024-01-01").cast("date").alias("d"), "id")
+    layout = sequence.lay_out(df, ["k"], ["d", "id"], before=5, max_rows=100)
+    ranked = layout.finish(layout.df.withColumn("p", F.col("_pos")))
+    assert ranked.where("id < 3000 and p != id").count() == 0
+    assert ranked.count() == 3005
+    assert layout.df.groupBy(*layout.partition).count().agg(F.max("count")).first()[0] <= 105
