@@ -34,6 +34,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.driver.extraJavaOptions", "-Xss16m")
+        # Wide window plans compile many small classes; the call-site record of every
+        # Python column costs a round trip each.
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
