@@ -56,6 +56,9 @@ def rolling_bundle(
     if values is None:
         values = numeric_columns(df, exclude=[*keys, "game_pk"])
     values = [c for c in dict.fromkeys(values) if c in df.columns and c not in {*keys, "game_pk"}]
+    text = set(values) - set(numeric_columns(df))
+    if text:
+        raise ValueError(f"columns {sorted(text)} are not numeric; convert them first (clean.as_numbers)")
     segment = int(SEGMENT_HALFLIVES * halflife) if halflife else 0
     df = _nan_to_null(df, values)
     layout = lay_out(

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lagwise.session import is_plain_scan, settle
+
 MAX_ROWS_PER_TASK = 1_000_000
 # Hot-key lists and bucket tables up to this many rows are broadcast; larger ones are
 # joined by shuffle.
@@ -210,6 +212,9 @@ def lay_out(
     if sizes is None or sizes.hot is None:
         return Layout(df, keys, order, False, keep_null_keys)
     hot, max_rows = sizes.hot, sizes.max_rows
+    # Cutting reads the rows several times; a long plan is not repeated for each.
+    if not is_plain_scan(df):
+        df = settle(df, "rows")
     size = max(max_rows, before, after)
     cold_rows = df.join(hot, list(keys), "left_anti").withColumns(
         {BLOCK: F.lit(-1).cast("long"), CORE: F.lit(True), POS: F.lit(None).cast("long")}

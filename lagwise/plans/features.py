@@ -142,7 +142,8 @@ def opponent_features(
     by_side = pivot_first(
         rates, ["game_pk", "opponent_team"], "pitcher_hand", {"L": "L", "R": "R"}, {"team_ops": "team_ops_vs_{}HP"}
     )
-    df = matchups.withColumn("game_date", F.col("game_date").cast("date"))
+    df = as_numbers(matchups, ["temp", "elevation", "humidity"])
+    df = df.withColumn("game_date", F.col("game_date").cast("date"))
     df = coalescing_join(df, rates.drop("team_ops"), ["game_pk", "opponent_team", "pitcher_hand"])
     df = coalescing_join(df, by_side, ["game_pk", "opponent_team"])
     sides = {"bat_ops": "bat_ops", "bat_strikeout_rate": "bat_k_rate"}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Everything here is a runtime SQL setting, so it can be applied to a session the
 # cluster has already started.
@@ -60,3 +60,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, for a table written between two steps."""
     return f"{ensure_checkpoint_dir(spark)}/lagwise-{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, name: str = "settled") -> DataFrame:
+    """Write ``df`` once and read it back, so that later passes do not repeat its work.
+
+    The table is columnar: a pass that needs only the keys reads only the keys.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def is_plain_scan(df: DataFrame) -> bool:
+    """Whether reading ``df`` again costs no more than reading its columns again."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    nodes = [line.strip(" :+-").split(" ")[0].split("[")[0] for line in plan.toString().splitlines() if line.strip()]
+    return all(n in ("Project", "Filter", "Relation", "LogicalRDD", "LocalRelation", "Range") for n in nodes)

@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lagwise.session import scratch_path
 
 PLACES = 6
 
@@ -47,10 +46,3 @@ def i(expr: str, name: str) -> str:
 
 def d(expr: str, name: str) -> str:
     return f"strftime(cast({expr} as date), '%Y-%m-%d') as {name}"
-
-
-def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write a table once and read it back: later passes do not recompute it."""
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.parquet(path)

@@ -8,7 +8,8 @@ from lagwise.operators import aggregates as G
 from lagwise.plans import baseball as B
 from lagwise.plans import features, matrix
 from lagwise.plans import pitch_log as P
-from workload.common import d, i, r, stored, tidy
+from lagwise.session import settle
+from workload.common import d, i, r, tidy
 from workload.games import CHAIN, rounded
 from workload.pitches import INJURIES, LINEUPS, PLAYERS, box_scores, injuries, lineups, pitch_log, players
 
@@ -28,20 +29,20 @@ class Games:
     def starters(self):
         if not hasattr(self, "_starters"):
             games = P.pitcher_games(self.log.drop("leverage_index"))
-            self._starters = stored(self.spark, games, "starters")
+            self._starters = settle(games, "starters")
         return self._starters
 
     def batters(self):
         if not hasattr(self, "_batters"):
             pairs = self.starters().select("game_pk", F.col("pitcher_id").alias("pitcher"))
-            self._batters = stored(self.spark, P.batter_games(self.log, pairs), "batters")
+            self._batters = settle(P.batter_games(self.log, pairs), "batters")
         return self._batters
 
     def matchups(self):
         if not hasattr(self, "_matchups"):
             teams = P.team_batting(self.batters(), self.starters())
             details = features.matchup_details(self.starters(), teams, box_scores(self.spark, self.sf_dir))
-            self._matchups = stored(self.spark, details, "matchups")
+            self._matchups = settle(details, "matchups")
         return self._matchups
 
     def lineups(self):
@@ -156,7 +157,7 @@ def _matrix(spark, sf_dir):
         g.lineups(), g.starters(), history.select(*IDS, "batter_id", "game_date", "batter_so_rate_mean_3")
     )
     joined = matrix.coalescing_join(joined, opposing, IDS, "left")
-    return stored(spark, joined, "joined")
+    return settle(joined, "joined")
 
 
 def feature_matrix(spark, sf_dir):

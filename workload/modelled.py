@@ -8,7 +8,8 @@ from lagwise.models import features as MF
 from lagwise.models import training as MT
 from lagwise.operators.clean import split_by_year
 from lagwise.operators.rolling import rest_days, rolling_bundle
-from workload.common import orders, r, stored, tidy
+from lagwise.session import settle
+from workload.common import orders, r, tidy
 
 ORDER = ["game_date", "game_pk"]
 TARGET = "strikeouts"
@@ -25,7 +26,7 @@ def _matrix(spark, sf_dir):
         F.col("o_orderpriority").alias("weather"),
     )
     rows = rest_days(rows, ["pitcher_id"], ORDER)
-    return stored(spark, rolling_bundle(rows, ["pitcher_id"], ORDER, [TARGET], windows=(3, 10), halflife=7), "matrix")
+    return settle(rolling_bundle(rows, ["pitcher_id"], ORDER, [TARGET], windows=(3, 10), halflife=7), "matrix")
 
 
 def _features(df):
