@@ -45,13 +45,22 @@ def drop_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int = MAX_ROWS_PER_TASK) -> DataFrame | None:
     """Keys with more than ``max_rows`` rows, or ``None`` if there are none.
 
-    One action over the key columns only; the count is combined before the shuffle.
+    Counts over the key columns only, combined before the shuffle.
     There can be at most ``rows / max_rows`` such keys.
     """
     keys = list(keys)
-    known = drop_null_keys(df.select(*keys), keys)
-    counts = known.groupBy(*keys).count().where(F.col("count") > max_rows).select(*keys)
-    hot = _in_hand(counts)
+    rows = drop_null_keys(df.select(*keys), keys)
+    if len(keys) > 1:
+        # A hot pair needs a hot first part, and counting that moves far fewer groups.
+        suspects = _keys_above(rows, keys[:1], max_rows)
+        if suspects is None:
+            return None
+        rows = rows.join(suspects, keys[:1], "left_semi")
+    return _keys_above(rows, keys, max_rows)
+
+
+def _keys_above(rows: DataFrame, keys: list[str], max_rows: int) -> DataFrame | None:
+    hot = _in_hand(rows.groupBy(*keys).count().where(F.col("count") > max_rows).select(*keys))
     return None if hot.isEmpty() else hot
 
 

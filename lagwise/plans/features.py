@@ -213,9 +213,11 @@ def pair_history(
     starters: DataFrame | None = None,
     windows: Sequence[int] = B.ROLLING_WINDOWS,
     halflife: float | None = B.EWM_HALFLIFE,
-    max_rows: int | None = MAX_ROWS_PER_TASK,
 ) -> DataFrame:
-    """Rolling history of each (pitcher, batter) pair, one row per pair and day."""
+    """Rolling history of each (pitcher, batter) pair, one row per pair and day.
+
+    A pair has at most as many rows as there are days, so no pair can be hot.
+    """
     df = batters
     if "game_date" not in df.columns:
         df = fill_from(df, starters, ["game_pk"], "game_date")
@@ -247,7 +249,7 @@ def pair_history(
         "",
         windows,
         halflife,
-        max_rows,
+        None,
     )
 
 
@@ -276,7 +278,8 @@ def lineup_trends(
         team = "team" if "team" in lineups.columns else "opponent_team"
         joined = lineups.drop("game_date").withColumnRenamed(team, "_team").join(faced, ["game_pk", "_team"])
     games = joined.groupBy("game_pk", "pitcher_id", "game_date").agg(*[F.avg(c).alias(c) for c in values])
-    return _bundle(games, ["pitcher_id"], ["game_date", "game_pk"], values, "lineup_", windows, halflife, max_rows)
+    sizes = measure(starters, ["pitcher_id"], max_rows)
+    return _bundle(games, ["pitcher_id"], ["game_date", "game_pk"], values, "lineup_", windows, halflife, sizes)
 
 
 def slot_trends(
@@ -331,6 +334,7 @@ def catcher_features(
         metrics.withColumn("game_date", F.col("game_date").cast("date")),
         ["game_pk", "catcher_id"],
     ).distinct()
+    sizes = measure(metrics, ["catcher_id"], max_rows)
     return _bundle(
-        joined, ["catcher_id"], ["game_date", "game_pk", "pitcher_id"], values, "catcher_", windows, halflife, max_rows
+        joined, ["catcher_id"], ["game_date", "game_pk", "pitcher_id"], values, "catcher_", windows, halflife, sizes
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lagwise.functions import aggregates as A
 from lagwise.operators.clean import existing
 from lagwise.operators.joins import only_listed
-from lagwise.operators.sequence import MAX_ROWS_PER_TASK, lay_out
+from lagwise.operators.sequence import MAX_ROWS_PER_TASK, KeySizes, lay_out, measure
 from lagwise.plans import baseball as B
 
 STARTER_PITCHES = 30
@@ -42,7 +42,7 @@ def starters(
     )
 
 
-def _ordered(df: DataFrame, keys: list[str], max_rows: int | None) -> DataFrame:
+def _ordered(df: DataFrame, keys: list[str], max_rows: int | KeySizes | None) -> DataFrame:
     """Rows with marks for the first row of the group and the last pitch of an at-bat,
     the next pitch type, and whether the at-bat had a runner on base."""
     layout = lay_out(df, keys, ["at_bat_number", "pitch_number"], before=1, after=1, max_rows=max_rows)
@@ -203,10 +203,11 @@ def batter_games(
 ) -> DataFrame:
     """One row per (game, batter, starting pitcher)."""
     source = existing(pitches, B.BATTER_COLUMNS)
+    keys = ["game_pk", "pitcher", "batter"]
+    sizes = measure(source, keys, max_rows)
     if starter_pairs is not None:
         source = only_listed(source, starter_pairs, ["game_pk", "pitcher"])
-    keys = ["game_pk", "pitcher", "batter"]
-    rows = _ordered(source, keys, max_rows)
+    rows = _ordered(source, keys, sizes)
 
     def ends(*events: str) -> str:
         return f"count_if(_last and {A.one_of('events', events)})"

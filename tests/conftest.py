@@ -11,6 +11,6 @@ from lagwise.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(cores=8, shuffle_partitions=4)
+    session = local_session(cores=8, shuffle_partitions=2)
     yield session
     session.stop()

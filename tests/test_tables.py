@@ -78,8 +78,8 @@ def test_marks_stats_and_lookups(spark, tmp_path):
     assert S.latest_date(df.where("false")) is None
     assert tuple(S.date_span(df).first()) == (dt.date(2023, 9, 1), dt.date(2023, 10, 16), 10)
     assert S.existing_keys(df, ["pitcher_id"]).count() == 3
-    raw = spark.createDataFrame([("12", "A"), ("x", "B"), (None, "C"), ("13.0", None)], "mlbid string, playername string")
-    names = {"pitcher_id": "mlbid", "name": "playername"}
+    raw = spark.createDataFrame([("12", "A"), ("x", "B"), (None, "C"), ("13.0", None)], "raw_id string, playername string")
+    names = {"pitcher_id": "raw_id", "name": "playername"}
     assert [tuple(r) for r in S.id_lookup(raw, "pitcher_id", names, ["name"]).collect()] == [(12, "A")]
     assert not S.table_exists(spark, str(tmp_path / "none"))
 

@@ -9,7 +9,7 @@ from lagwise.plans import baseball as B
 from lagwise.plans import features, matrix
 from lagwise.plans import pitch_log as P
 from lagwise.session import settle
-from workload.common import d, i, r, tidy
+from workload.common import i, r, tidy
 from workload.games import CHAIN, rounded
 from workload.pitches import INJURIES, LINEUPS, PLAYERS, box_scores, injuries, lineups, pitch_log, players
 

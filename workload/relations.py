@@ -238,9 +238,9 @@ def cleaned_numbers(spark, sf_dir):
 
 def id_lookup(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select(
-        F.expr("case when p_size % 7 = 0 then 'x' else cast(p_partkey as string) end").alias("mlbid"), "p_name"
+        F.expr("case when p_size % 7 = 0 then 'x' else cast(p_partkey as string) end").alias("raw_id"), "p_name"
     )
-    return tidy(S.id_lookup(parts, "pitcher_id", {"pitcher_id": "mlbid", "name": "p_name"}, ["name"]))
+    return tidy(S.id_lookup(parts, "pitcher_id", {"pitcher_id": "raw_id", "name": "p_name"}, ["name"]))
 
 
 def text_scalars(spark, sf_dir):
