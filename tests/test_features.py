@@ -66,7 +66,7 @@ def test_matrix(spark, base):
     }
     pitcher, context, opponent, history = (settle(df, name) for name, df in made.items())
     df = matrix.build_matrix(
-        pitcher, [opponent, context], lineups(spark, SF_DIR), history, windows=(3,), train_years=(2022, 2023)
+        pitcher, [opponent, context], lineups(spark, SF_DIR), history, unique=True, windows=(3,), train_years=(2022, 2023)
     )
     df = settle(df, "matrix")
     names = set(df.columns)
