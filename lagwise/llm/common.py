@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lagwise.session import apply_settings, ensure_checkpoint_dir, settle
 
-__all__ = ["ascii_lower", "components", "positions", "prepare", "read", "settle", "word_count", "WORD"]
+__all__ = ["ascii_lower", "components", "positions", "prepare", "ranked", "read", "settle", "word_count", "WORD"]
 
 # A word is a run of code points outside ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -61,14 +61,39 @@ def positions(df: DataFrame, order: Sequence[Column], out: str) -> tuple[DataFra
     for part, n in sizes:
         starts.append((part, total))
         total += n
-    from pyspark.sql import Window
-
     before = spark.createDataFrame(starts, "_part int, _before long")
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order)).cast("long")
     placed = ranged.join(F.broadcast(before), "_part").withColumn(out, F.col("_before") + rank - 1)
     return placed.drop("_part", "_before"), total
 
 
+def ranked(
+    rows: DataFrame, keys: Sequence[str], n: str, order: Sequence[Column], seed: int, out: str, where: Column | None = None
+) -> DataFrame:
+    """Exact 0-based rank ``out`` of each row in its group, by a seeded hash of ``order``.
+
+    ``n`` is a column with the group's row count; keys are not null. A group is dealt into
+    sub-groups of some hundreds of rows, or of a 100,000th of the table if that is more;
+    their counts give each its first rank. So no task orders a large group, and the table of
+    sub-groups stays small. Rows that do not fulfil ``where`` get null. ``rows`` is read
+    more than once and should be a stored table.
+    """
+    chunk = max(256, rows.count() // 100_000)
+    sub = [*keys, "_sub"]
+    tagged = rows.withColumn("_sub", F.pmod(F.xxhash64(F.lit(seed), *order), F.lit(1) + F.floor(F.col(n) / chunk)))
+    wanted = F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)
+    some = tagged.where(wanted)
+    counts = some.groupBy(*sub).agg(F.count("*").alias("_c"))
+    earlier = Window.partitionBy(*keys).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select(*sub, F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_first"))
+    within = F.row_number().over(Window.partitionBy(*sub).orderBy(F.xxhash64(F.lit(seed + 1), *order), *order))
+    placed = some.withColumn("_in", within).join(first, sub).withColumn(out, F.col("_first") + F.col("_in") - 1)
+    placed = placed.drop("_sub", "_first", "_in")
+    if where is None:
+        return placed
+    return placed.unionByName(tagged.where(~wanted).drop("_sub").withColumn(out, F.lit(None).cast("long")))
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components: one row (node, component) per node that has a link.
 

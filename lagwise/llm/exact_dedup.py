@@ -16,7 +16,7 @@ stage. Only (digest, hash, length, identifier, count) is shuffled, never a text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagwise.llm.common import ascii_lower, settle
@@ -90,7 +90,11 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", kee
     Only the identifiers that stay are joined back. Rows are spread by identifier and
     digest, so a hot text costs its copies one probe each.
     """
-    stay = exact_dedup(docs, id_col, text, keep).where("kept").select("doc_id", "text_sha256").distinct()
-    digest = F.sha2(F.coalesce(ascii_lower(docs[text]), F.lit("")), 256)
-    kept = docs.join(stay, docs[id_col].eqNullSafe(stay["doc_id"]) & (digest == stay["text_sha256"]), "left_semi")
-    return kept.dropDuplicates([id_col]) if id_col in docs.columns else kept
+    names = ["doc_id", "text_sha256"]
+    stay = exact_dedup(docs, id_col, text, keep).where("kept").select(*names).distinct()
+    stay = stay.select(F.xxhash64(*names).alias("_k"), *(F.col(n).alias(f"_{n}") for n in names))
+    digest = F.sha2(F.coalesce(ascii_lower(F.col(text)), F.lit("")), 256)
+    keyed = docs.withColumn("_digest", digest).withColumn("_k", F.xxhash64(F.col(id_col), F.col("_digest")))
+    same = (keyed["_k"] == stay["_k"]) & keyed[id_col].eqNullSafe(stay["_doc_id"]) & (keyed["_digest"] == stay["_text_sha256"])
+    place = F.row_number().over(Window.partitionBy("_k", id_col, "_digest").orderBy("_k"))
+    return keyed.join(stay, same, "left_semi").withColumn("_place", place).where("_place = 1").select(*docs.columns)

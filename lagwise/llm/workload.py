@@ -7,6 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from lagwise.llm.chat_format import digest_chats, format_chats
 from lagwise.llm.common import read
 from lagwise.llm.exact_dedup import exact_dedup
+from lagwise.llm.mixing import mix_sources
+from lagwise.llm.packing import pack_documents
+from lagwise.llm.quality_classifier import classify
+from lagwise.llm.quality_rules import quality_rules
+from lagwise.llm.simhash import near_duplicates
 from lagwise.llm.url_filter import BAD_WORDS, filter_pages
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -94,9 +99,82 @@ from g
 """
 
 
+def packing_tokenizer() -> str:
+    """Where the public tokenizer of the packing query lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read(spark, sf_dir, "documents"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read(spark, sf_dir, "documents"), packing_tokenizer())
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+with d as (select row_number() over () as row, doc_id, coalesce(text, '') as text from documents),
+w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws,
+  list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as lines from d),
+m as (
+  select row, doc_id, ws, len(ws) as n_words,
+    length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) as word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
+    len(lines) - len(list_distinct(lines)) as n_dup_lines, len(lines) as n_lines,
+    length(text) - length(replace(text, '!', '')) as n_exclaim,
+    length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) as n_digits,
+    length(text) - length(regexp_replace(text, '[\x00-\x08\x0e-\x1f\x7f]', '', 'g')) as n_rare_bytes,
+    len(list_filter(ws, lambda x: regexp_matches(x, '[A-Z][^A-Z]*[A-Z]') and not regexp_matches(x, '[a-z]'))) as n_upper_words,
+    len(list_distinct(ws)) as n_distinct
+  from w),
+g as (
+  select row, i, count(*) over (partition by row, gram) as n
+  from (select row, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as gram
+    from (select row, ws, unnest(range(1, n_words - 1)) as i from m))),
+r as (select row, count(distinct i + j) as n_repeat_words from g, (values (0), (1), (2)) o(j) where n > 1 group by row),
+b as (
+  select m.* exclude (ws), coalesce(r.n_repeat_words, 0) as n_repeat_words
+  from m left join r on m.row = r.row),
+f as (
+  select *, (n_words < 50)::bigint
+    + 2 * (100 * n_repeat_words > 50 * n_words)::bigint
+    + 4 * (100 * n_symbols > 30 * n_words)::bigint
+    + 8 * (100 * n_dup_lines > 60 * n_lines)::bigint
+    + 16 * (100 * n_upper_words > 40 * n_words)::bigint
+    + 32 * (100 * n_exclaim > 30 * n_words)::bigint
+    + 64 * (word_chars < 2 * n_words or word_chars > 20 * n_words)::bigint
+    + 128 * (100 * n_digits > 30 * word_chars)::bigint
+    + 256 * (100 * n_rare_bytes > 5 * word_chars)::bigint
+    + 512 * (n_words >= 100 and 100 * n_distinct < 5 * n_words)::bigint as fail_bits
+  from b)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  fail_bits & 3 <> 0 as base_failed, fail_bits & 63 = 0 as kept, fail_bits
+from f
+"""
+
+
 QUERIES = {
+    "op2_mixing": op2_mixing,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op7_packing": op7_packing,
+    "op8_simhash": op8_simhash,
+    "op10_quality_rules": op10_quality_rules,
     "op5_url_filters": op5_url_filters,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_chat_formatting": op9_chat_formatting,
 }
-ORACLE = {"op5_url_filters": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op9_chat_formatting": OP9_SQL}
+ORACLE = {"op10_quality_rules": OP10_SQL, "op5_url_filters": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op9_chat_formatting": OP9_SQL}
