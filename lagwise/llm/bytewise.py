@@ -125,11 +125,21 @@ def gram_hashes(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    out = np.full(n, (salt * 2 + 1) * 0x9E3779B97F4A7C15 % 2**64, dtype=np.uint64)
-    for j in range(k):
-        out *= _STEP
-        out += h[j : j + n]
-    return mix(out)
+    base = 0xD6E8FEB86659FD93 + 2 * salt * 0x9E3779B97F4A7C15 & 2**64 - 1 | 1
+    # Spans double; the binary digits of k say which of them to join.
+    out, length, span, size = None, 0, h, 1
+    while True:
+        if k & size:
+            if out is None:
+                out, length = span, size
+            else:
+                out = span[: len(span) - length] * _U64(pow(base, length, 2**64)) + out[size:]
+                length += size
+        if 2 * size > k:
+            break
+        span = span[:-size] * _U64(pow(base, size, 2**64)) + span[size:]
+        size *= 2
+    return mix(out[:n])
 
 
 def inside_text(off: np.ndarray, n_words: int, k: int) -> np.ndarray:

@@ -12,6 +12,8 @@ from lagwise.llm.packing import pack_documents
 from lagwise.llm.quality_classifier import classify
 from lagwise.llm.quality_rules import quality_rules
 from lagwise.llm.simhash import near_duplicates
+from lagwise.llm.substring_dedup import substring_dedup
+from lagwise.llm.token_counts import count_edited
 from lagwise.llm.url_filter import BAD_WORDS, filter_pages
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -106,10 +108,22 @@ def packing_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return count_edited(
+        read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(read(spark, sf_dir, "documents"), with_text=False)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -168,6 +182,8 @@ from f
 
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op3_substring_dedup": op3_substring_dedup,
     "op2_mixing": op2_mixing,
     "op4_quality_classifier": op4_quality_classifier,
     "op7_packing": op7_packing,
