@@ -27,20 +27,22 @@ from lagwise.plans import baseball as B
 
 _HELD_OUT = "_held_out"
 DEFAULTS = {
-    "boosted": {"maxIter": 500, "stepSize": 0.0678, "maxDepth": 3, "subsamplingRate": 0.626},
+    # Slow steps of shallow trees, each on most of the rows.
+    "boosted": {"maxIter": 500, "stepSize": 0.05, "maxDepth": 4, "subsamplingRate": 0.8},
     "poisson": {"regParam": 0.01, "maxIter": 50},
     "forest": {"numTrees": 100, "maxDepth": 6},
 }
 # name -> (kind, lower, upper), kind one of int, float, log
 SEARCH_SPACE = {
+    # A step per decade around the default; depth up to what a few thousand rows support.
     "boosted": {
-        "stepSize": ("float", 0.005, 0.3),
-        "maxDepth": ("int", 3, 8),
-        "minInstancesPerNode": ("int", 1, 100),
-        "subsamplingRate": ("float", 0.4, 1.0),
+        "stepSize": ("log", 0.01, 0.2),
+        "maxDepth": ("int", 2, 6),
+        "minInstancesPerNode": ("int", 1, 50),
+        "subsamplingRate": ("float", 0.5, 1.0),
     },
-    "poisson": {"regParam": ("log", 1e-3, 20.0)},
-    "forest": {"maxDepth": ("int", 3, 10), "minInstancesPerNode": ("int", 1, 100)},
+    "poisson": {"regParam": ("log", 1e-4, 10.0)},
+    "forest": {"maxDepth": ("int", 4, 12), "minInstancesPerNode": ("int", 1, 50)},
 }
 
 
@@ -104,17 +106,25 @@ def train(
     longer falls. Missing categories become their own value."""
     features = never_missing_everywhere(train_df, features)
     columns = [*features, *categorical, target]
-    rows = train_df.select(*columns).withColumn(_HELD_OUT, F.lit(False))
-    held_out = kind == "boosted" and eval_df is not None
-    if held_out:
-        rows = rows.unionByName(eval_df.select(*columns).withColumn(_HELD_OUT, F.lit(True)))
-    rows = as_doubles(fill_categories(rows, categorical), [*features, target]).dropna(subset=[target])
+
+    def tidy(df: DataFrame) -> DataFrame:
+        return as_doubles(fill_categories(df.select(*columns), categorical), [*features, target]).dropna(subset=[target])
+
+    rows = tidy(train_df)
     bins = 32
     if categorical:
         counts = rows.agg(*[F.count_distinct(c) for c in categorical]).first()
         bins = max(bins, max(counts) + 2)
-    pipeline = Pipeline(stages=[*assembly(features, categorical), _regressor(kind, target, params or {}, held_out, bins)])
-    return Trained(pipeline.fit(rows), features, list(categorical), target)
+    # Fill values and category indexes come from the training rows alone.
+    prepared = Pipeline(stages=assembly(features, categorical)).fit(rows)
+    ready = prepared.transform(rows)
+    held_out = kind == "boosted" and eval_df is not None
+    if held_out:
+        ready = ready.withColumn(_HELD_OUT, F.lit(False)).unionByName(
+            prepared.transform(tidy(eval_df)).withColumn(_HELD_OUT, F.lit(True))
+        )
+    fitted = _regressor(kind, target, params or {}, held_out, bins).fit(ready)
+    return Trained(PipelineModel(stages=[*prepared.stages, fitted]), features, list(categorical), target)
 
 
 def cross_validate(

@@ -70,7 +70,9 @@ def dedup(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column] | No
     shuffle, so a key repeated very often does not gather in one task.
     """
     names = df.columns
-    rank = [c if isinstance(c, Column) else F.col(c) for c in (order or names)]
+    if not order:
+        return df.groupBy(*keys).agg(F.min(F.struct(*names)).alias("_row")).select("_row.*")
+    rank = [c if isinstance(c, Column) else F.col(c) for c in order]
     key = F.struct(*[r.alias(f"k{i}") for i, r in enumerate(rank)])
     row = F.struct(*names)
     kept = df.groupBy(*keys).agg(F.min_by(row, key).alias("_row"))
@@ -95,7 +97,7 @@ def only_listed(df: DataFrame, listed: DataFrame, keys: Sequence[str]) -> DataFr
 
 def lookup_join(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Join a lookup table; broadcast only after checking that it is small."""
-    small = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = table.count() <= BROADCAST_ROWS
     return df.join(F.broadcast(table) if small else table, list(on), how)
 
 

@@ -204,7 +204,8 @@ def sum_last_days(
     """Sum over rows dated in ``[d - n, d)``; ``columns`` maps output to ``(source, n)``.
 
     All rows of a key on one day share the value, so with a hot key the rows are first
-    summed per day and the frame runs over days.
+    summed per day and the frame runs over days. A row without a date gets NULL and is in
+    no other row's sum.
     """
     keys = list(keys)
     df = drop_null_keys(df, keys)
@@ -216,15 +217,17 @@ def sum_last_days(
     sizes = measure(df, keys, max_rows)
     if sizes is None or sizes.hot is None:
         return df.withColumns(
-            {out: F.sum(src).over(frame(n, day)) for out, (src, n) in columns.items()}
+            {out: F.when(day.isNotNull(), F.sum(src).over(frame(n, day))) for out, (src, n) in columns.items()}
         )
+    kinds = {out: df.agg(F.sum(src).alias("s")).schema["s"].dataType for out, (src, _) in columns.items()}
     dated = df.withColumn("_day", day)
     sources = list(dict.fromkeys(src for src, _ in columns.values()))
-    daily = dated.groupBy(*keys, "_day").agg(*[F.sum(s).alias(s) for s in sources])
+    daily = dated.where("_day is not null").groupBy(*keys, "_day").agg(*[F.sum(s).alias(s) for s in sources])
     rolled = daily.select(
         *keys,
         "_day",
-        *[F.sum(src).over(frame(n, F.col("_day"))).alias(out) for out, (src, n) in columns.items()],
+        # A sum of sums would be a wider decimal than the plain sum.
+        *[F.sum(src).over(frame(n, F.col("_day"))).cast(kinds[out]).alias(out) for out, (src, n) in columns.items()],
     )
     return dated.join(rolled, keys + ["_day"], "left").drop("_day")
 

@@ -103,6 +103,19 @@ def _order_buckets(df: DataFrame, order: Sequence[str]) -> tuple[Column, Column]
     elif isinstance(kind, T.IntegralType):
         lead = F.floor(first / F.lit(65536)).cast("long")
         tie = F.pmod(first.cast("long"), F.lit(65536).cast("long"))
+    elif isinstance(kind, T.BooleanType):
+        lead, tie = first.cast("long"), no_tie
+    elif isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
+        value = first.cast("double")
+        whole = F.floor(value)  # saturates for very large values, which keeps the order
+        lead = F.when(F.isnan(value), F.lit(2**62)).otherwise(F.greatest(whole, F.lit(-(2**61))))
+        inside = F.when(F.isnan(value) | (F.abs(value) >= 2.0**52), 0.0).otherwise(value - whole)
+        tie = F.floor(inside * F.lit(2.0**30)).cast("long")
+    elif isinstance(kind, T.StringType):
+        lead = F.substring(first, 1, 10)
+        rest = F.hex(F.encode(F.substring(first, 11, 6), "utf-8"))
+        tie = F.conv(F.rpad(F.substring(rest, 1, 12), 12, "0"), 16, 10).cast("long")
+        return F.coalesce(lead, F.lit("")), F.coalesce(tie, no_tie)
     else:
         raise ValueError(f"cannot split a hot key ordered by {order[0]} ({kind.simpleString()})")
     lowest = F.lit(-(2**62)).cast("long")

@@ -45,7 +45,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; fall back to a scratch folder only when unset."""
+    """The cluster's ``spark.checkpoint.dir``; a scratch folder only in local mode.
+
+    Elsewhere a folder that machines do not share would lose data, so an unset one is an error.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
@@ -53,7 +56,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
     )
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lagwise-checkpoint-"))
+    if not shared:
+        if not (context.master or "").split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        shared = tempfile.mkdtemp(prefix="lagwise-checkpoint-")
+    context.setCheckpointDir(shared)
     return context.getCheckpointDir()
 
 

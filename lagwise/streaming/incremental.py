@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from lagwise.operators.joins import dedup
+from lagwise.session import settle
 from lagwise.sources.tables import SEASON, latest_date, read_table, table_exists, write_table
 
 
@@ -34,41 +35,67 @@ def refresh(
     * ``rebuilt``: no table yet, or ``rebuild``.
     * ``appended``: new rows all lie after the mark. ``compute`` sees the full history and
       only rows after the mark are written, so windows do not restart at the mark.
-    * ``repaired``: some new rows are dated at or before the mark. Later rows of the same
-      groups change too, so the seasons from the first late row on are rewritten.
+    * ``repaired``: some rows are new and dated at or before the mark, or have no date, or
+      differ from what was processed before. Later rows of the same groups change too, so
+      the seasons from the first such row on are rewritten; undated rows come before all
+      others, so they rewrite every season.
     * ``unchanged``.
 
+    What has been processed is known from a table of row keys and row hashes next to the
+    target, not from the target itself, as ``compute`` may drop rows. It is written after the
+    target: a call that broke off in between is repaired by the next one.
+
     Give ``group_keys`` if ``compute`` works on each group alone: then an append reads the
     history of the groups that have new rows, and not the rest.
     """
-    if rebuild or not table_exists(spark, target):
-        write_table(compute(source), target, "overwrite", date)
-        return "rebuilt"
-    stored = read_table(spark, target)
-    mark = latest_date(stored, date)
-    if mark is None:
+    seen_path = target.rstrip("/") + "__seen"
+    keys = list(row_key)
+    day = F.col(date).cast("date")
+    now = source.select(*keys, F.xxhash64(*sorted(source.columns)).alias("_hash"), day.alias("_day"))
+    fresh_start = rebuild or not table_exists(spark, target) or not table_exists(spark, seen_path)
+    stored_mark = None if fresh_start else latest_date(read_table(spark, target), date)
+    if stored_mark is None:
         write_table(compute(source), target, "overwrite", date)
+        now.withColumn("_step", F.lit(0)).write.mode("overwrite").parquet(seen_path)
         return "rebuilt"
-    day = F.col(date).cast("date")
-    unseen = source.select(*row_key, day.alias("_day")).join(
-        stored.select(*row_key), list(row_key), "left_anti"
+    mark = F.lit(stored_mark)
+    log = spark.read.parquet(seen_path)
+    step = log.agg(F.max("_step")).first()[0] + 1
+    seen = log.groupBy(*keys).agg(F.max_by(F.struct("_hash", F.col("_day").alias("_old_day")), "_step").alias("_seen"))
+    same = [F.col(f"n.`{k}`").eqNullSafe(F.col(f"s.`{k}`")) for k in keys]
+    changed = (
+        now.alias("n")
+        .join(seen.alias("s"), same, "left")
+        .where("s._seen is null or s._seen._hash <> n._hash")
+        .select("n.*", F.col("s._seen").isNotNull().alias("_corrected"), F.col("s._seen._old_day").alias("_old_day"))
     )
-    state = unseen.agg(
-        F.count("*").alias("n"), F.min(F.when(F.col("_day") <= F.lit(mark), F.col("_day"))).alias("late")
+    undated = F.col("_day").isNull() | (F.col("_corrected") & F.col("_old_day").isNull())
+    state = changed.agg(
+        F.count("*").alias("n"),
+        F.count(F.when(F.col("_corrected") | undated | (F.col("_day") <= mark), 1)).alias("late"),
+        F.min(F.least("_day", "_old_day")).alias("first"),
+        F.count(F.when(undated, 1)).alias("undated"),
     ).first()
     if state.n == 0:
         return "unchanged"
-    if state.late is None:
+    # Kept as rows, since the source may be read again later with other rows.
+    note = settle(changed.select(*keys, "_hash", "_day", F.lit(step).alias("_step")), "seen")
+    if state.late == 0:
         history = source
         if group_keys:
-            touched = newer_than(source, mark, date).select(*group_keys).distinct()
+            touched = newer_than(source, stored_mark, date).select(*group_keys).distinct()
             history = source.join(touched, list(group_keys), "left_semi")
-        write_table(newer_than(compute(history), mark, date), target, "append", date)
-        return "appended"
-    fresh = compute(source).withColumn(SEASON, F.year(date)).where(F.col(SEASON) >= state.late.year)
-    # Whole season partitions are replaced, earlier ones stay as they are.
-    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(SEASON).parquet(target)
-    return "repaired"
+        write_table(newer_than(compute(history), stored_mark, date), target, "append", date)
+        done = "appended"
+    else:
+        fresh = compute(source).withColumn(SEASON, F.year(date))
+        if not state.undated:
+            fresh = fresh.where(F.col(SEASON) >= state.first.year)
+        # Whole season partitions are replaced, earlier ones stay as they are.
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(SEASON).parquet(target)
+        done = "repaired"
+    note.write.mode("append").parquet(seen_path)
+    return done
 
 
 def stream_refresh(

@@ -73,3 +73,11 @@ def test_permutation_importance_finds_the_used_feature(matrix):
     fitted = MT.train(matrix, ["x1_mean_3", "x2_mean_3"], kind="forest", params={"numTrees": 5})
     got = MT.permutation_importance(fitted, matrix, ["game_date", "game_pk"]).collect()
     assert got[0].feature == "x1_mean_3" and all(r.importance > 0 for r in got)
+
+
+def test_held_out_rows_do_not_fill_in(matrix):
+    past = matrix.where("game_pk < 180")
+    ahead = matrix.where("game_pk >= 180").withColumn("x1_mean_3", F.lit(1000.0))
+    fitted = MT.train(past, ["x1_mean_3"], eval_df=ahead, params={"maxIter": 2})
+    mean = past.agg(F.avg("x1_mean_3")).first()[0]
+    assert fitted.model.stages[0].surrogateDF.first()[0] == pytest.approx(mean)

@@ -246,3 +246,33 @@ def test_feature_groups_follow_exact_names_then_first_prefix(spark):
     group = X.group_by_name("f", B.FEATURE_NAME_GROUPS, B.FEATURE_PREFIX_GROUPS, B.DEFAULT_FEATURE_GROUP)
     got = {r.f: r.g for r in df.select("f", group.alias("g")).collect()}
     assert got == dict(zip(names, ["Context", "Opponent", "Pitch_Quality", "Context", "Performance", "Pitch_Quality"]))
+
+
+def test_infinite_bounds_and_values(spark):
+    from lagwise.operators.aggregates import column_quantiles
+    from lagwise.operators.encode import winsorize
+
+    df = spark.range(40).selectExpr("case when id = 39 then double('infinity') else cast(id as double) end as x")
+    assert winsorize(df, {"x": (5.0, float("inf"))}).agg(F.min("x"), F.max("x")).first() == (5.0, float("inf"))
+    assert column_quantiles(df, ["x"], [0.5], budget=20)["x"] == [19.5]
+
+
+def test_scratch_folder_only_in_local_mode(spark, monkeypatch):
+    from lagwise import session
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    monkeypatch.setattr(Session, "conf", type("C", (), {"get": staticmethod(lambda *a: None)})())
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(Session())

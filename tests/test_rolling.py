@@ -149,3 +149,22 @@ def test_clustered_order_values_are_cut_evenly(spark):
     assert ranked.where("id < 3000 and p != id").count() == 0
     assert ranked.count() == 3005
     assert layout.df.groupBy(*layout.partition).count().agg(F.max("count")).first()[0] <= 105
+
+
+@pytest.mark.parametrize("max_rows", [None, 2])
+def test_undated_rows_are_in_no_day_sum(spark, max_rows):
+    rows = [(1, None, "5"), (1, None, "6"), (1, "2024-04-01", "10"), (1, "2024-04-03", "20")]
+    df = spark.createDataFrame(rows, "k long, d string, x string").selectExpr("k", "cast(d as date) d", "cast(x as decimal(10,2)) x")
+    out = rolling.sum_last_days(df, ["k"], "d", {"s": ("x", 7)}, max_rows=max_rows)
+    assert out.schema["s"].dataType.simpleString() == "decimal(20,2)"
+    assert {(r.x, r.s) for r in out.collect()} == {(5, None), (6, None), (10, None), (20, 10)}
+
+
+@pytest.mark.parametrize("kind", ["string", "double", "decimal(12,3)", "boolean"])
+def test_any_order_type_can_be_cut(spark, kind):
+    value = {"string": "concat('2024-01-', lpad(id % 28, 2, '0'), ' ', id % 24)", "double": "(id * 37 % 100) / 7 - 6", "decimal(12,3)": "id * 31 % 97 - 40.5", "boolean": "id % 2 = 0"}[kind]
+    df = spark.range(60).selectExpr("id % 2 as k", f"cast({value} as {kind}) as o", "id", "cast(id as double) as x")
+    df = df.withColumn("o", F.when(F.col("id") % 13 != 0, F.col("o")))
+    want = rolling.sum_last_rows(df, ["k"], ["o", "id"], {"s": ("x", 3)}, max_rows=None)
+    got = rolling.sum_last_rows(df, ["k"], ["o", "id"], {"s": ("x", 3)}, max_rows=20)
+    assert sorted(map(str, got.select("id", "s").collect())) == sorted(map(str, want.select("id", "s").collect()))

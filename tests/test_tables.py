@@ -49,6 +49,21 @@ def test_late_rows_repair_later_ones(spark, tmp_path):
     assert S.read_table(spark, target).count() == 10
 
 
+def test_undated_corrected_and_dropped_rows_settle(spark, tmp_path):
+    target = str(tmp_path / "t")
+    base = games(spark, 0, 60)
+    keyless = base.where("game_pk = 59").withColumn("pitcher_id", F.lit(None).cast("long")).withColumn("game_pk", F.lit(900).cast("long"))
+    undated = base.where("game_pk = 58").withColumn("game_date", F.lit(None).cast("date")).withColumn("game_pk", F.lit(901).cast("long"))
+    fixed = base.withColumn("pitches", F.when(F.col("game_pk") == 20, 99.0).otherwise(F.col("pitches")))
+    steps = [base.where("game_pk < 55"), base.union(undated), base.union(undated).union(keyless), fixed.union(undated).union(keyless)]
+    done = []
+    for source in steps:
+        done += [refresh(spark, source, target, compute, ["game_pk"]), refresh(spark, source, target, compute, ["game_pk"])]
+        assert content(S.read_table(spark, target).where("game_date is not null")) == content(compute(source).where("game_date is not null"))
+    assert done == ["rebuilt", "unchanged", "repaired", "unchanged", "repaired", "unchanged", "repaired", "unchanged"]
+    assert S.read_table(spark, target).where("game_pk = 901").count() == 1
+
+
 def test_stream_of_files_equals_a_rebuild(spark, tmp_path):
     arrivals, raw, target, check = (str(tmp_path / n) for n in ("in", "raw", "t", "check"))
     for first, last in ((0, 25), (20, 40), (40, 60)):

@@ -43,7 +43,7 @@ def ewm_customer(spark, sf_dir):
 
 
 def ewm_event_type(spark, sf_dir):
-    """Few keys with long groups: the case where a hot key is cut into blocks."""
+    """Few keys with long groups, not cut; ``rolling_hot_key`` is the same with a cut."""
     df = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
     out = rolling.rolling_bundle(df, ["event_type"], ["ts", "event_id"], ["value"], windows=(), halflife=7)
     return tidy(out.drop("ts"), 4)
@@ -140,7 +140,84 @@ def incremental_append(spark, sf_dir):
     return tidy(spark.read.parquet(target).drop("season"), 4)
 
 
+# So few rows a key that every event type is cut into blocks.
+CUT = 300
+
+
+def _events(spark, sf_dir):
+    """Events with a day that every 50th row lacks, and the time as text."""
+    day = F.when(F.col("event_id") % 50 != 0, F.to_date("ts"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", "event_type", "ts", F.col("ts").cast("string").alias("ts_text"), "value", day.alias("day")
+    )
+
+
+def rolling_hot_key(spark, sf_dir):
+    df = _events(spark, sf_dir).select("event_id", "event_type", "ts", "value")
+    out = rolling.rolling_bundle(df, ["event_type"], ["ts", "event_id"], ["value"], windows=(3, 10), halflife=7, max_rows=CUT)
+    return tidy(out.drop("ts"), 4)
+
+
+def rolling_hot_key_text(spark, sf_dir):
+    """The order is a text; the result must not depend on the cut."""
+    df = _events(spark, sf_dir).select("event_id", "event_type", "ts_text", "value")
+    out = rolling.rolling_bundle(df, ["event_type"], ["ts_text", "event_id"], ["value"], windows=(3, 10), halflife=7, max_rows=CUT)
+    return tidy(out.drop("ts_text"), 4)
+
+
+def rolling_hot_key_number(spark, sf_dir):
+    df = _events(spark, sf_dir).select("event_id", "event_type", "value")
+    out = rolling.sum_last_rows(df, ["event_type"], ["value", "event_id"], {"last_7_rows": ("value", 7)}, max_rows=CUT)
+    return tidy(out, 4)
+
+
+def sum_last_days_hot(spark, sf_dir):
+    df = _events(spark, sf_dir).select("event_id", "event_type", "day", "value")
+    return tidy(rolling.sum_last_days(df, ["event_type"], "day", {"last_7_days": ("value", 7)}, max_rows=CUT), 4)
+
+
+def sum_last_days_undated(spark, sf_dir):
+    df = _events(spark, sf_dir).select("event_id", "event_type", "day", "value")
+    return tidy(rolling.sum_last_days(df, ["event_type"], "day", {"last_7_days": ("value", 7)}), 4)
+
+
+def rest_days_hot(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("event_id", "event_type", F.to_date("ts").alias("day"))
+    return tidy(rolling.rest_days(df, ["event_type"], ["day", "event_id"], max_rows=CUT))
+
+
+def _incremental(spark, sf_dir, loads):
+    source = orders(spark, sf_dir).select(*BASE, "o_totalprice")
+    target = scratch_path(spark, "increment")
+
+    def compute(df):
+        return rolling.rolling_bundle(df, KEY, ORDER, ["o_totalprice"], windows=(3,))
+
+    for change in (*loads, lambda df: df):
+        refresh(spark, change(source), target, compute, ["o_orderkey"], KEY, date="day")
+    return tidy(spark.read.parquet(target).drop("season"), 4)
+
+
+def incremental_late(spark, sf_dir):
+    """Every seventh order arrives only with the second load."""
+    return _incremental(spark, sf_dir, [lambda df: df.where("o_orderkey % 7 <> 0")])
+
+
+def incremental_corrected(spark, sf_dir):
+    """The first load has wrong prices for every fifth order."""
+    wrong = F.when(F.col("o_orderkey") % 5 == 0, F.col("o_totalprice") * 10).otherwise(F.col("o_totalprice"))
+    return _incremental(spark, sf_dir, [lambda df: df.withColumn("o_totalprice", wrong.cast(df.schema["o_totalprice"].dataType))])
+
+
 QUERIES = {
+    "rolling_hot_key": rolling_hot_key,
+    "rolling_hot_key_text": rolling_hot_key_text,
+    "rolling_hot_key_number": rolling_hot_key_number,
+    "sum_last_days_hot": sum_last_days_hot,
+    "sum_last_days_undated": sum_last_days_undated,
+    "rest_days_hot": rest_days_hot,
+    "incremental_late": incremental_late,
+    "incremental_corrected": incremental_corrected,
     "rolling_customer": rolling_customer,
     "ewm_customer": ewm_customer,
     "ewm_event_type": ewm_event_type,
@@ -197,3 +274,38 @@ ORACLE = {
         {r(f'lag(o_totalprice) over ({_W}) - avg(o_totalprice) over ({_W} rows between 3 preceding and 1 preceding)', 'o_totalprice_momentum_3', 4)}
         from {_O}""",
 }
+
+_E = "(select *, case when event_id % 50 <> 0 then cast(ts as date) end as day from events where event_type is not null)"
+_DAYS = f"""select event_id, event_type, {d('day', 'day')}, {r('value', 'value', 4)},
+    {r("case when day is not null then sum(value) over (partition by event_type order by day range between interval 7 days preceding and interval 1 day preceding) end", 'last_7_days', 4)}
+    from {_E}"""
+
+
+def _hot_sql() -> str:
+    w = "over (partition by event_type order by ts, event_id rows between {} preceding and 1 preceding)"
+    cells = []
+    for k in (3, 10):
+        mean = f"avg(value) {w.format(k)}"
+        cells += [
+            r(mean, f"value_mean_{k}", 4),
+            r(f"stddev_samp(value) {w.format(k)}", f"value_std_{k}", 4),
+            r(f"lag(value) over (partition by event_type order by ts, event_id) - {mean}", f"value_momentum_{k}", 4),
+        ]
+    ewm = _ewm_sql("events", "event_type", "ts, event_id", "value", "event_id, event_type")
+    return f"with plain as (select event_id, {', '.join(cells)} from events), ewm as ({ewm}) select * from ewm join plain using (event_id)"
+
+
+ORACLE |= {
+    "rolling_hot_key": _hot_sql(),
+    "rolling_hot_key_text": _hot_sql(),
+    "rolling_hot_key_number": f"""select event_id, event_type, {r('value', 'value', 4)},
+        {r('sum(value) over (partition by event_type order by value, event_id rows between 7 preceding and 1 preceding)', 'last_7_rows', 4)}
+        from events where event_type is not null""",
+    "sum_last_days_hot": _DAYS,
+    "sum_last_days_undated": _DAYS,
+    "rest_days_hot": f"""select event_id, event_type, {d('day', 'day')},
+        {i("date_diff('day', lag(day) over (partition by event_type order by day, event_id), day)", 'rest_days')}
+        from (select event_id, event_type, cast(ts as date) as day from events where event_type is not null)""",
+    "incremental_late": ORACLE["incremental_append"],
+    "incremental_corrected": ORACLE["incremental_append"],
+}
