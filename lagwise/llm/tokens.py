@@ -7,6 +7,7 @@ import os
 import numpy as np
 
 CACHE_WORDS = 250_000
+STOPS = b".,;:!?"
 
 
 class WordCache(dict):
@@ -15,6 +16,9 @@ class WordCache(dict):
     That is exact for tokenizers whose normaliser and pre-tokenizer drop white space and
     never look across it. Encoded words are kept, at most twice ``CACHE_WORDS`` of them: a
     full generation replaces the one before it. Control strings in texts are plain text.
+
+    Where the tokenizer lower-cases and splits words from punctuation, which is tried on
+    three words, a new word is that of its lower-cased body and its closing stops.
     """
 
     _shared: dict[str, WordCache] = {}
@@ -27,6 +31,10 @@ class WordCache(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.old: dict[bytes, bytes] = {}
+        self.parts = all(
+            self._encode(a) == self._encode(b) + self._encode(c)
+            for a, b, c in ((b"Word.", b"word", b"."), (b"AB12!?", b"ab12", b"!?"), (b"x,;:", b"x", b",;:"))
+        )
 
     @classmethod
     def shared(cls, path: str) -> WordCache:
@@ -38,8 +46,7 @@ class WordCache(dict):
     def __missing__(self, word: bytes) -> bytes:
         made = self.old.get(word)
         if made is None:
-            found = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-            made = np.array(found, dtype="<u4").tobytes()
+            made = self._made(word)
         if len(self) >= CACHE_WORDS:
             self.old = dict(self)
             self.clear()
@@ -47,6 +54,21 @@ class WordCache(dict):
             self[word] = made
         return made
 
+    def _made(self, word: bytes) -> bytes:
+        if self.parts:
+            base = word.lower()
+            body = base.rstrip(STOPS)
+            if body and body != base and body[-1:].isalnum():
+                # A letter or digit ends a pre-token, and stops after it make another one.
+                return self[body] + self[base[len(body) :]]
+            if base != word:
+                return self[base]
+        return self._encode(word)
+
+    def _encode(self, word: bytes) -> bytes:
+        found = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return np.array(found, dtype="<u4").tobytes()
+
     def ids(self, text: bytes, end: int | None = None) -> np.ndarray:
         data = b"".join([self[w] for w in text.split()])
         tail = b"" if end is None else np.array([end], dtype="<u4").tobytes()
