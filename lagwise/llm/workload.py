@@ -121,7 +121,30 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(read(spark, sf_dir, "documents"), with_text=False)
+    # The number of factors hangs on how documents fall into batches; the words removed do not.
+    return substring_dedup(read(spark, sf_dir, "documents"), with_text=False).drop("n_factors")
+
+
+OP3_SQL = r"""
+with d as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+w as (
+  select doc_id, i, array_to_string(ws[i:i + 19], ' ') as gram
+  from (select doc_id, ws, unnest(range(1, len(ws) - 18)) as i from d where len(ws) >= 20)),
+later as (
+  select doc_id, i from (select doc_id, i, row_number() over (partition by gram order by doc_id, i) as place from w)
+  where place > 1),
+gone as (
+  select doc_id, list(distinct i + j) as spots from later, range(20) o(j) group by doc_id),
+r as (
+  select d.doc_id, len(ws) as n_words, coalesce(len(spots), 0) as n_removed,
+    case when spots is null then ws else
+      (select list(t.word order by t.p) from (select unnest(ws) as word, unnest(range(1, len(ws) + 1)) as p) t
+        where not list_contains(spots, t.p)) end as kept
+  from d left join gone on d.doc_id = gone.doc_id)
+select doc_id, n_words, n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) as kept_sha256
+from r
+"""
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,4 +216,10 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op9_chat_formatting": op9_chat_formatting,
 }
-ORACLE = {"op10_quality_rules": OP10_SQL, "op5_url_filters": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op9_chat_formatting": OP9_SQL}
+ORACLE = {
+    "op3_substring_dedup": OP3_SQL,
+    "op5_url_filters": OP5_SQL,
+    "op6_exact_dedup": OP6_SQL,
+    "op9_chat_formatting": OP9_SQL,
+    "op10_quality_rules": OP10_SQL,
+}
