@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
@@ -55,11 +55,17 @@ def importance_table(spark, names: Sequence[str], importances: Sequence[float])
     return table.withColumn("group", group).orderBy(F.desc("importance"), "feature")
 
 
-def forest_importances(df: DataFrame, features: Sequence[str], target: str, trees: int = 50) -> dict[str, float]:
+def forest_importances(
+    df: DataFrame,
+    features: Sequence[str],
+    target: str,
+    trees: int = 50,
+    params: Mapping[str, object] | None = None,
+) -> dict[str, float]:
     features = never_missing_everywhere(df, features)
     if not features:
         return {}
-    forest = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, seed=SEED)
+    forest = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, seed=SEED, **(params or {}))
     rows = as_doubles(df.select(*features, target), [*features, target]).dropna(subset=[target])
     fitted = Pipeline(stages=[*assembly(features), forest]).fit(rows)
     return dict(zip(features, fitted.stages[-1].featureImportances.toArray().tolist()))
@@ -72,13 +78,14 @@ def select_features(
     prune: bool = False,
     threshold: float = 0.01,
     trees: int = 50,
+    params: Mapping[str, object] | None = None,
 ) -> tuple[list[str], dict[str, float]]:
     """Numeric columns that may be inputs; with ``prune`` those whose importance is at
     least ``threshold`` times the largest one. Returns the names and the importances."""
     names = candidate_features(df, target, [*B.IDENTIFIERS, *exclude])
     if not prune or not names:
         return names, {}
-    importances = forest_importances(df, names, target, trees)
+    importances = forest_importances(df, names, target, trees, params)
     top = max(importances.values(), default=0.0)
     return [n for n in names if n in importances and importances[n] >= threshold * top], importances
 

@@ -24,8 +24,11 @@ from lagwise.operators.clean import fill_categories, split_by_year
 from lagwise.operators.folds import time_folds
 from lagwise.operators.sequence import with_positions
 from lagwise.plans import baseball as B
+from lagwise.session import settle
 
-_HELD_OUT = "_held_out"
+PATIENCE = 50
+# Features whose swapped values travel together when permutations are scored.
+SWAP_BATCH = 16
 DEFAULTS = {
     # Slow steps of shallow trees, each on most of the rows.
     "boosted": {"maxIter": 500, "stepSize": 0.05, "maxDepth": 4, "subsamplingRate": 0.8},
@@ -55,12 +58,11 @@ def metrics(predicted: DataFrame, target: str, prediction: str = "prediction") -
     )
 
 
-def _regressor(kind: str, target: str, params: Mapping[str, object], held_out: bool, bins: int):
+def _regressor(kind: str, target: str, params: Mapping[str, object], bins: int):
     common = {"featuresCol": "features", "labelCol": target}
     chosen = {**DEFAULTS[kind], **params}
     if kind == "boosted":
-        more = {"validationIndicatorCol": _HELD_OUT} if held_out else {}
-        return GBTRegressor(**common, seed=SEED, maxBins=bins, **more, **chosen)
+        return GBTRegressor(**common, seed=SEED, maxBins=bins, **chosen)
     if kind == "forest":
         return RandomForestRegressor(**common, seed=SEED, maxBins=bins, **chosen)
     if kind == "poisson":
@@ -68,6 +70,33 @@ def _regressor(kind: str, target: str, params: Mapping[str, object], held_out: b
     raise ValueError(f"unknown model kind {kind!r}")
 
 
+def best_round(errors: Sequence[float], patience: int, least: float = 1e-9) -> tuple[int, bool]:
+    """The round (from 1) with the lowest error before ``patience`` rounds in a row brought
+    no relative gain of ``least``, and whether that point was reached."""
+    best, at = math.inf, 0
+    for number, error in enumerate(errors, 1):
+        if error < best * (1 - least) or at == 0:
+            best, at = error, number
+        elif number - at >= patience:
+            return at, True
+    return at, False
+
+
+def _boost(make, rows: DataFrame, ahead: DataFrame, limit: int, patience: int):
+    """Boosting cut at its best round on ``ahead``.
+
+    A boosted model of fewer rounds is a prefix of one of more, so rounds are doubled until
+    patience runs out; no more than about twice the rounds needed are trained in vain.
+    """
+    rounds = min(limit, 2 * patience)
+    while True:
+        fitted = make(rounds).fit(rows)
+        best, out_of_patience = best_round(fitted.evaluateEachIteration(ahead, "squared"), patience)
+        if out_of_patience or rounds >= limit:
+            return fitted if best == rounds else make(best).fit(rows)
+        rounds = min(limit, 2 * rounds)
+
+
 @dataclass
 class Trained:
     model: PipelineModel
@@ -101,9 +130,10 @@ def train(
     eval_df: DataFrame | None = None,
     categorical: Sequence[str] = (),
     params: Mapping[str, object] | None = None,
+    patience: int = PATIENCE,
 ) -> Trained:
-    """Fit on ``train_df``. With ``eval_df`` a boosted model stops when the error on it no
-    longer falls. Missing categories become their own value."""
+    """Fit on ``train_df``. With ``eval_df`` a boosted model ends at the round with the lowest
+    error on it, looking ``patience`` rounds ahead. Missing categories become their own value."""
     features = never_missing_everywhere(train_df, features)
     columns = [*features, *categorical, target]
 
@@ -118,15 +148,32 @@ def train(
     # Fill values and category indexes come from the training rows alone.
     prepared = Pipeline(stages=assembly(features, categorical)).fit(rows)
     ready = prepared.transform(rows)
-    held_out = kind == "boosted" and eval_df is not None
-    if held_out:
-        ready = ready.withColumn(_HELD_OUT, F.lit(False)).unionByName(
-            prepared.transform(tidy(eval_df)).withColumn(_HELD_OUT, F.lit(True))
+    ahead = prepared.transform(tidy(eval_df)) if kind == "boosted" and eval_df is not None else None
+    if ahead is not None and not ahead.isEmpty():
+        chosen = {**DEFAULTS[kind], **(params or {})}
+        fitted = _boost(
+            lambda n: _regressor(kind, target, {**chosen, "maxIter": n}, bins), ready, ahead, chosen["maxIter"], patience
         )
-    fitted = _regressor(kind, target, params or {}, held_out, bins).fit(ready)
+    else:
+        fitted = _regressor(kind, target, params or {}, bins).fit(ready)
     return Trained(PipelineModel(stages=[*prepared.stages, fitted]), features, list(categorical), target)
 
 
+def _fold_scores(folded: DataFrame, features, target, n_splits, kind, params) -> list[float]:
+    scores = []
+    for k in range(1, n_splits + 1):
+        past, ahead = folded.where(F.col("fold") < k), folded.where(F.col("fold") == k)
+        fitted = train(past, features, target, kind, ahead, params=params)
+        scores.append(fitted.evaluate(ahead).first().rmse)
+    return scores
+
+
+def _folded(df: DataFrame, features, order, target, n_splits) -> DataFrame:
+    """Folds of the model's columns, worked out once and stored for all fits."""
+    needed = dict.fromkeys([*order, *features, target])
+    return settle(time_folds(df.select(*needed), order, n_splits).select(*features, target, "fold"), "folds")
+
+
 def cross_validate(
     df: DataFrame,
     features: Sequence[str],
@@ -137,16 +184,7 @@ def cross_validate(
     params: Mapping[str, object] | None = None,
 ) -> list[float]:
     """RMSE of each expanding-window fold: trained on earlier rows, scored on the next ones."""
-    folded = time_folds(df, order, n_splits).select(*features, target, "fold").cache()
-    try:
-        scores = []
-        for k in range(1, n_splits + 1):
-            past, ahead = folded.where(F.col("fold") < k), folded.where(F.col("fold") == k)
-            fitted = train(past, features, target, kind, ahead, params=params)
-            scores.append(fitted.evaluate(ahead).first().rmse)
-        return scores
-    finally:
-        folded.unpersist()
+    return _fold_scores(_folded(df, features, order, target, n_splits), features, target, n_splits, kind, params)
 
 
 def evaluate_holdout(
@@ -189,14 +227,22 @@ def random_search(
     fixed: Mapping[str, object] | None = None,
     seed: int = SEED,
 ) -> tuple[dict[str, object], DataFrame]:
-    """Best parameters by mean fold RMSE, and the table of trials (best first)."""
+    """Best parameters by mean fold RMSE, and the table of trials (best first).
+
+    Folds do not depend on the parameters and are made once; a draw that comes up again is
+    not fitted again.
+    """
     rng = random.Random(seed)
     space = space or SEARCH_SPACE[kind]
-    trials = []
+    folded = _folded(df, features, order, target, n_splits)
+    trials, known = [], {}
     for number in range(n_trials):
         drawn = {name: _draw(rng, *spec) for name, spec in space.items()}
-        scores = cross_validate(df, features, order, target, n_splits, kind, {**(fixed or {}), **drawn})
-        trials.append((number, sum(scores) / len(scores), json.dumps(drawn, sort_keys=True)))
+        text = json.dumps(drawn, sort_keys=True)
+        if text not in known:
+            scores = _fold_scores(folded, features, target, n_splits, kind, {**(fixed or {}), **drawn})
+            known[text] = sum(scores) / len(scores)
+        trials.append((number, known[text], text))
     table = df.sparkSession.createDataFrame(trials, "trial int, rmse double, params string").orderBy("rmse", "trial")
     best = min(trials, key=lambda t: t[1])
     return json.loads(best[2]), table
@@ -207,33 +253,34 @@ def permutation_importance(
 ) -> DataFrame:
     """Rise in RMSE when one feature takes the values of other rows; only rises are kept.
 
-    Every row meets one partner row through a fixed permutation of the row positions; all
-    features are scored in a single job, a row being scored once per feature.
+    Every row meets one partner row through a fixed permutation of the row positions. The
+    positions are stored once; features are scored in batches, a row once per feature of the
+    batch, so that neither the width nor the number of rows grows with all features.
     """
     features, target = fitted.features, fitted.target
-    rows = with_positions(df.dropna(subset=[target]), [], order)
-    rows = as_doubles(rows, [*features, target])
+    placed = with_positions(df.select(*dict.fromkeys([*order, *features, *fitted.categorical, target])).dropna(subset=[target]), [], order)
+    rows = settle(as_doubles(placed, [*features, target]), "placed")
     n = rows.count()
+    if n == 0:
+        return importance_table(df.sparkSession, [], [])
     step = max(1, int(n * offset_share))
     while math.gcd(step, n) != 1:
         step += 1
-    moved = rows.selectExpr(
-        f"cast(pmod(cast(_pos as decimal(38, 0)) * {step} + {step // 3}, {n}) as bigint) as _pos",
-        *[f"`{c}` as `_other_{c}`" for c in features],
-    )
-    paired = rows.join(moved, "_pos")
-    swapped = [
-        f"case when _feature = {k} then `_other_{c}` else `{c}` end as `{c}`" for k, c in enumerate(features)
-    ]
-    scored = paired.select("*", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1))).alias("_feature")).selectExpr(
-        *swapped, *[f"`{c}`" for c in fitted.categorical], f"`{target}`", "_feature"
-    )
-    errors = (
-        fitted.predict(scored)
-        .groupBy("_feature")
-        .agg(F.sqrt(F.avg(F.pow(F.col("prediction") - F.col(target), 2))).alias("rmse"))
-    )
-    # One row per feature.
-    found = {r._feature: r.rmse for r in errors.collect()}
-    gains = [found[k] - found[-1] for k in range(len(features))]
+    partner = f"cast(pmod(cast(_pos as decimal(38, 0)) * {step} + {step // 3}, {n}) as bigint) as _pos"
+
+    def rmse(scored: DataFrame, by: Sequence[str] = ()):
+        error = F.pow(F.col("prediction") - F.col(target), 2)
+        return fitted.predict(scored).groupBy(*by).agg(F.sqrt(F.avg(error)).alias("rmse")).collect()
+
+    base = rmse(rows)[0].rmse
+    gains = []
+    for a in range(0, len(features), SWAP_BATCH):
+        batch = features[a : a + SWAP_BATCH]
+        moved = rows.selectExpr(partner, *[f"`{c}` as `_other_{c}`" for c in batch])
+        which = F.explode(F.sequence(F.lit(0), F.lit(len(batch) - 1))).alias("_feature")
+        swapped = [f"case when _feature = {k} then `_other_{c}` else `{c}` end as `{c}`" for k, c in enumerate(batch)]
+        kept = [f"`{c}`" for c in (*features[:a], *features[a + SWAP_BATCH :], *fitted.categorical, target)]
+        scored = rows.join(moved, "_pos").select("*", which).selectExpr(*swapped, *kept, "_feature")
+        found = {r._feature: r.rmse for r in rmse(scored, ["_feature"])}  # one row per feature
+        gains += [found[k] - base for k in range(len(batch))]
     return importance_table(df.sparkSession, features, gains).where("importance > 0")

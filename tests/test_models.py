@@ -81,3 +81,35 @@ def test_held_out_rows_do_not_fill_in(matrix):
     fitted = MT.train(past, ["x1_mean_3"], eval_df=ahead, params={"maxIter": 2})
     mean = past.agg(F.avg("x1_mean_3")).first()[0]
     assert fitted.model.stages[0].surrogateDF.first()[0] == pytest.approx(mean)
+
+
+def test_best_round_looks_ahead_by_patience():
+    assert MT.best_round([5, 4, 3, 3.5, 3.4, 2], 2) == (3, True)
+    assert MT.best_round([5, 4, 3, 3.5, 3.4, 2], 3) == (6, False)
+    assert MT.best_round([2.0, 2.0 - 1e-12, 2.0], 2) == (1, True)
+    assert MT.best_round([1.0], 5) == (1, False)
+
+
+def test_boosting_is_cut_at_its_best_round(matrix):
+    past, ahead = matrix.where("game_pk < 180"), matrix.where("game_pk >= 180")
+    params = {"maxIter": 12, "stepSize": 0.9, "maxDepth": 5}
+    cut = MT.train(past, ["x1_mean_3", "x2_mean_3"], eval_df=ahead, params=params, patience=3)
+    rounds = cut.model.stages[-1].getNumTrees
+    scores = [
+        MT.train(past, ["x1_mean_3", "x2_mean_3"], params={**params, "maxIter": n}).evaluate(ahead).first().rmse
+        for n in (rounds, rounds + 1)
+    ]
+    assert 1 <= rounds <= 12 and cut.evaluate(ahead).first().rmse == pytest.approx(scores[0])
+    assert rounds == 12 or scores[0] <= scores[1] + 1e-9
+
+
+def test_search_makes_folds_once_and_fits_a_draw_once(matrix, monkeypatch):
+    made, fitted = [], []
+    folds, train = MT.time_folds, MT.train
+    monkeypatch.setattr(MT, "time_folds", lambda *a, **k: made.append(1) or folds(*a, **k))
+    monkeypatch.setattr(MT, "train", lambda *a, **k: fitted.append(1) or train(*a, **k))
+    MT.random_search(
+        matrix, ["x1_mean_3"], ["game_date", "game_pk"], n_trials=6, n_splits=2, kind="forest",
+        space={"maxDepth": ("int", 1, 2)}, fixed={"numTrees": 1},
+    )
+    assert len(made) == 1 and len(fitted) <= 4
