@@ -334,7 +334,7 @@ def catcher_features(
         metrics.withColumn("game_date", F.col("game_date").cast("date")),
         ["game_pk", "catcher_id"],
     ).distinct()
-    sizes = measure(metrics, ["catcher_id"], max_rows)
+    sizes = measure(joined, ["catcher_id"], max_rows)
     return _bundle(
         joined, ["catcher_id"], ["game_date", "game_pk", "pitcher_id"], values, "catcher_", windows, halflife, sizes
     )

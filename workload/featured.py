@@ -9,16 +9,30 @@ from lagwise.plans import baseball as B
 from lagwise.plans import features, matrix
 from lagwise.plans import pitch_log as P
 from lagwise.session import settle
-from workload.common import i, r, tidy
-from workload.games import CHAIN, rounded
+from workload import common
+from workload.common import PLACES, SHIFT, i
+from workload.games import CHAIN
+from workload.games import rounded as rounded_as
 from workload.pitches import INJURIES, LINEUPS, PLAYERS, box_scores, injuries, lineups, pitch_log, players
 
-WINDOWS = (3, 10)
-HALFLIFE = 7
+WINDOWS = B.ROLLING_WINDOWS
+HALFLIFE = B.EWM_HALFLIFE
 OPTIONS = {"windows": WINDOWS, "halflife": HALFLIFE}
 IDS = ["game_pk", "pitcher_id"]
 
 
+def tidy(df, places=PLACES):
+    return common.tidy(df, places, SHIFT)
+
+
+def r(expr: str, name: str, places: int = PLACES) -> str:
+    return common.r(expr, name, places, SHIFT)
+
+
+def rounded(doubles, longs=(), dates=(), plain=()) -> str:
+    return rounded_as(doubles, longs, dates, plain, SHIFT)
+
+
 class Games:
     """Base tables of one run; each is written once and then read by the feature plans."""
 
@@ -60,7 +74,7 @@ def _features_of(games: Games, values, **options):
 
 
 FULL_VALUES = [c for c in B.PITCHER_ROLLING if not c.startswith("batter_")]
-PITCHER_VALUES = ["strikeouts", "fip", "splitter_whiff_rate"]
+PITCHER_VALUES = FULL_VALUES
 CALENDAR = ["days_into_season", "rest_days", "pitches_last_7d", "season_ip_last_30d", "on_il", "days_since_il"]
 
 
@@ -85,7 +99,8 @@ def workload_features(spark, sf_dir):
     return tidy(df.select(*IDS, "pitches_last_7_games", "ip_last_30_games", "on_il", "days_since_il"))
 
 
-OPPONENT_VALUES = ["strikeouts", "bat_ops", "team_k_rate", "team_ops_vs_LHP", "bat_k_rate_vs_RHP"]
+# A rolled column needs its source: surroundings come with the context, rates with the opponent.
+OPPONENT_VALUES = [c for c in B.CONTEXT_ROLLING if c not in ("wind_speed", "park_factor")]
 TEAM_HAND_VALUES = B.TEAM_HAND_ROLLING
 
 
@@ -95,7 +110,7 @@ def opponent_features(spark, sf_dir):
     return tidy(df.select(*IDS, *_names(OPPONENT_VALUES, "opp_"), *_names(TEAM_HAND_VALUES, "team_hand_")))
 
 
-CONTEXT_VALUES = ["strikeouts", "temp", "wind_speed", "park_factor"]
+CONTEXT_VALUES = [c for c in B.CONTEXT_ROLLING if not c.startswith("team_")]
 SURROUNDINGS = ["temp", "wind_speed", "elevation", "day_of_week", "park_factor"]
 
 
@@ -127,7 +142,7 @@ def _slot_rows(g: Games):
 
 
 def slot_trends(spark, sf_dir):
-    return tidy(features.slot_trends(_slot_rows(Games(spark, sf_dir)), LINEUP_VALUES, windows=(3,), halflife=None))
+    return tidy(features.slot_trends(_slot_rows(Games(spark, sf_dir)), LINEUP_VALUES, **OPTIONS))
 
 
 def catcher_features(spark, sf_dir):
@@ -146,9 +161,13 @@ def unique_starters(spark, sf_dir):
     return tidy(starters.groupBy("pitching_team").agg(F.count("*").alias("n_games")))
 
 
+NARROW = (3, 10)
+NARROW_VALUES = ["strikeouts", "fip", "splitter_whiff_rate"]
+
+
 def _matrix(spark, sf_dir):
     g = Games(spark, sf_dir)
-    pitchers = _features_of(g, PITCHER_VALUES)
+    pitchers = _features_of(g, NARROW_VALUES, windows=NARROW)
     context = features.contextual_features(g.matchups(), windows=(3,), halflife=None)
     kept = [c for c in context.columns if c.endswith("_3") or c in (*IDS, *SURROUNDINGS, "weather", "home_team")]
     history = features.pair_history(g.batters(), g.starters(), windows=(3,), halflife=None)
@@ -162,10 +181,28 @@ def _matrix(spark, sf_dir):
 
 def feature_matrix(spark, sf_dir):
     """Guarded, winsorized, log-transformed and encoded matrix."""
-    df = matrix.finish_matrix(_matrix(spark, sf_dir), windows=WINDOWS)
+    df = matrix.finish_matrix(_matrix(spark, sf_dir), windows=NARROW)
     return tidy(df.select(*MATRIX_COLUMNS), 5)
 
 
+def feature_matrix_full(spark, sf_dir):
+    """Every column of the matrix from all five feature tables, as (game, pitcher, name, value)."""
+    g = Games(spark, sf_dir)
+    opponent = features.opponent_features(g.matchups(), g.batters(), g.starters())
+    context = features.contextual_features(g.matchups())
+    faced = features.lineup_trends(g.lineups(), g.starters(), LINEUP_VALUES)
+    catchers = features.catcher_features(g.lineups(), P.catcher_games(g.log), g.starters(), P.first_catchers(g.log))
+    history = settle(features.pair_history(g.batters(), g.starters()), "history")
+    sides = [settle(df, "side") for df in (opponent, context, faced, catchers)]
+    pitchers = settle(_features_of(g, B.PITCHER_ROLLING), "pitchers")
+    joined = settle(matrix.join_matrix(pitchers, sides, g.lineups(), history, unique=True), "joined")
+    df = matrix.finish_matrix(joined)
+    texts = {f.name for f in df.schema.fields if f.dataType.simpleString() in ("string", "date")}
+    names = [c for c in df.columns if c not in (*IDS, "strikeouts") and c not in texts]
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in names])
+    return tidy(df.select(*IDS, F.inline(cells)).where("value is not null"))
+
+
 MATRIX_DOUBLES = [
     "strikeouts_mean_3", "fip_std_10", "ump_strikeouts_mean_3", "venue_strikeouts_mean_3", "pitcher_age",
     "opp_batter_batter_so_rate_mean_3", "log_days_into_season", "days_into_season", "temp", "weather_enc", "home_team_enc", "month_bucket_enc",
@@ -175,7 +212,7 @@ MATRIX_COLUMNS = ["game_pk", "pitcher_id", "opponent_team", "weather", "strikeou
 
 _QUERY_FUNCTIONS = [
     pitcher_features, pitcher_features_full, workload_features, opponent_features, contextual_features,
-    pair_history, lineup_trends, slot_trends, catcher_features, unique_starters, feature_matrix,
+    pair_history, lineup_trends, slot_trends, catcher_features, unique_starters, feature_matrix, feature_matrix_full,
 ]
 QUERIES = {f.__name__: f for f in _QUERY_FUNCTIONS}
 
@@ -224,7 +261,7 @@ PITCHERS = f"""select g.*, date_diff('day', min(game_date) over (partition by ye
     from pitcher_games g left join players on player_id = pitcher_id"""
 SIDES = """select game_pk, opponent_team, max(team_ops) filter (pitcher_hand = 'L') as team_ops_vs_LHP,
     max(team_ops) filter (pitcher_hand = 'R') as team_ops_vs_RHP from hand_rates group by 1, 2"""
-OPPONENTS = """select m.*, h.team_k_rate, s.team_ops_vs_LHP, s.team_ops_vs_RHP from matchups m
+OPPONENTS = """select m.* replace (try_cast(temp as double) as temp), h.team_k_rate, s.team_ops_vs_LHP, s.team_ops_vs_RHP from matchups m
     left join hand_rates h using (game_pk, opponent_team, pitcher_hand) left join sides s using (game_pk, opponent_team)"""
 _PARK_ROWS = ", ".join(f"('{t}', '{p}', {a}::double, {o}::double, {f}::bigint)" for t, p, a, o, f in B.BALLPARKS)
 CONTEXT = """select m.* replace (try_cast(temp as double) as temp),
@@ -260,10 +297,10 @@ _CONTEXT_BUNDLES = bundle(
     "home_team", _BY_GAME, CONTEXT_VALUES, "venue_",
 )
 _SLOTS = f"""slots as ({bundle("select l.*, l.team as opponent_team, d.game_date from lineups l join (select game_pk, min(game_date) as game_date from pitches group by 1) d using (game_pk)",
-    "opponent_team, batting_order", "game_date, game_pk", LINEUP_VALUES, "lineup_", (3,), None)})"""
-_SLOT_NAMES = ["lineup_avg_ops", *_names(LINEUP_VALUES, "lineup_", (3,), None)[:6]]
+    "opponent_team, batting_order", "game_date, game_pk", LINEUP_VALUES, "lineup_")})"""
+_SLOT_NAMES = ["lineup_avg_ops", *_names(LINEUP_VALUES, "lineup_")]
 
-_MATRIX_SQL = f"""{_FULL}, rolled as ({bundle('select * from pitchers', 'pitcher_id', 'game_date, game_pk', PITCHER_VALUES)}),
+_MATRIX_SQL = f"""{_FULL}, rolled as ({bundle('select * from pitchers', 'pitcher_id', 'game_date, game_pk', NARROW_VALUES, '', NARROW)}),
     surround as ({bundle(bundle('select * from context', 'hp_umpire', _BY_GAME, ['strikeouts'], 'ump_', (3,), None), 'home_team', _BY_GAME, ['strikeouts'], 'venue_', (3,), None)}),
     hist as ({bundle('select * from pairs', 'pitcher_id, batter_id', 'game_date, game_pk', ['batter_so_rate'], '', (3,), None)}),
     opp as (select l.game_pk, p.pitcher_id, avg(h.batter_so_rate_mean_3) as opp_rate from lineups l
@@ -280,6 +317,50 @@ _MATRIX_SQL = f"""{_FULL}, rolled as ({bundle('select * from pitchers', 'pitcher
     month_m as (select month_bucket, avg(strikeouts) as e from joined where train group by 1),
     hand_m as (select pitcher_hand, avg(strikeouts) as e from joined where train group by 1)"""
 
+# The whole matrix, a row per cell.
+_PAIR_ALL = [*_names(PAIR_VALUES)]
+_ROLLED = {
+    "a": _names(FULL_VALUES),
+    "o": [*_names(OPPONENT_VALUES, "opp_"), *_names(TEAM_HAND_VALUES, "team_hand_")],
+    "c": [n for p in ("ump_", "wx_", "venue_") for n in _names(CONTEXT_VALUES, p)],
+    "l": _names(LINEUP_VALUES, "lineup_"),
+    "k": _names(["called_strike_rate", "framing_runs"], "catcher_"),
+}
+_PLAIN = {
+    "a": [*CALENDAR, "pitcher_age"],
+    "c": ["temp", "wind_speed", "elevation", "humidity", "park_factor", "day_of_week", "travel_distance"],
+}
+_TEXT = {"a": ["month_bucket", "pitcher_hand"], "c": ["weather", "wind", "hp_umpire", "home_team", "away_team", "stadium"], "k": ["team"]}
+
+
+def _cells_of(names: dict) -> str:
+    return ", ".join(f"cast({t}.{c} as double) as {c}" for t, cs in names.items() for c in cs)
+
+
+_WIDE_NAMES = [c for names in (_ROLLED, _PLAIN) for cs in names.values() for c in cs] + [f"opp_batter_{c}" for c in _PAIR_ALL]
+_TEXT_NAMES = [c for cs in _TEXT.values() for c in cs]
+_FULL_MATRIX_SQL = f"""{_FULL},
+    a as materialized ({bundle('select * from pitchers', 'pitcher_id', 'game_date, game_pk', FULL_VALUES)}),
+    o as materialized ({bundle(bundle('select * from opponents', 'pitcher_id, opponent_team', _BY_GAME, OPPONENT_VALUES, 'opp_'), 'opponent_team, pitcher_hand', _BY_GAME, TEAM_HAND_VALUES, 'team_hand_')}),
+    c as materialized ({_CONTEXT_BUNDLES}),
+    l as materialized ({bundle('select * from faced', 'pitcher_id', 'game_date, game_pk', LINEUP_VALUES, 'lineup_')}),
+    k as materialized ({bundle('select * from catchers', 'catcher_id', _BY_GAME, ['called_strike_rate', 'framing_runs'], 'catcher_')}),
+    h as materialized ({bundle('select * from pairs', 'pitcher_id, batter_id', 'game_date, game_pk', PAIR_VALUES)}),
+    met as (select l.game_pk, p.pitcher_id, {', '.join(f'avg(h.{c}) as opp_batter_{c}' for c in _PAIR_ALL)} from lineups l
+      join pitcher_games p on p.game_pk = l.game_pk and p.opponent_team = l.team
+      left join h on h.game_pk = l.game_pk and h.pitcher_id = p.pitcher_id and h.batter_id = l.batter_id group by 1, 2),
+    wide as materialized (select a.game_pk, a.pitcher_id, a.strikeouts, year(a.game_date) in {B.TRAIN_YEARS} as train,
+        {_cells_of(_ROLLED)}, {_cells_of(_PLAIN)}, {', '.join(f'met.opp_batter_{c}' for c in _PAIR_ALL)}, {', '.join(f'{t}.{c}' for t, cs in _TEXT.items() for c in cs)}
+      from a left join o using (game_pk, pitcher_id) left join c using (game_pk, pitcher_id) left join l using (game_pk, pitcher_id)
+      left join k using (game_pk, pitcher_id) left join met using (game_pk, pitcher_id)),
+    cells as materialized (unpivot (select game_pk, pitcher_id, train, {', '.join(_WIDE_NAMES)} from wide) on {', '.join(_WIDE_NAMES)} into name name value value),
+    bounds as (select name, quantile_cont(value, 0.01) as lo, quantile_cont(value, 0.99) as hi, count(*) as n, min(value) as least, max(value) as most
+      from cells where train group by name),
+    clipped as (select game_pk, pitcher_id, name, least(greatest(value, lo), hi) as value from cells left join bounds using (name)),
+    logged as (select name from bounds where n = (select count(*) from wide where train) and greatest(least, lo) >= 0 and least(most, hi) > 1),
+    words as materialized (unpivot (select game_pk, pitcher_id, strikeouts, train, {', '.join(_TEXT_NAMES)} from wide) on {', '.join(_TEXT_NAMES)} into name name value word),
+    means as (select name, word, avg(strikeouts) as value from words where train group by name, word)"""
+
 
 def _clip(c: str) -> str:
     return f"(case when j.{c} is not null then least(greatest(j.{c}, {c}_lo), {c}_hi) end)"
@@ -308,6 +389,9 @@ ORACLE = {
         {r('avg(projected_k_pct)', 'projected_lineup_k_pct')} from slots group by game_pk, opponent_team, game_date""",
     "catcher_features": f"""{_FULL}, x as ({bundle('select * from catchers', 'catcher_id', _BY_GAME, ['called_strike_rate', 'framing_runs'], 'catcher_')})
         select {rounded(['called_strike_rate', *_names(['called_strike_rate', 'framing_runs'], 'catcher_')], [*IDS, 'catcher_id', 'framing_runs'], ['game_date'], ['team'])} from x""",
+    "feature_matrix_full": f"""{_FULL_MATRIX_SQL} select game_pk, pitcher_id, name, {r('value', 'value')} from (
+          select * from clipped union all select game_pk, pitcher_id, 'log_' || name, ln(1 + value) from clipped semi join logged using (name)
+          union all select game_pk, pitcher_id, name || '_enc', means.value from words join means using (name, word))""",
     "unique_starters": f"{CHAIN} select pitching_team, {i('count(*)', 'n_games')} from pitcher_games group by 1",
     "feature_matrix": f"""{_MATRIX_SQL} select {i('j.game_pk', 'game_pk')}, {i('j.pitcher_id', 'pitcher_id')}, j.opponent_team, j.weather, {i('j.strikeouts', 'strikeouts')},
         {', '.join(r(_clip(c), n, 5) for c, n in (('strikeouts_mean_3', 'strikeouts_mean_3'), ('fip_std_10', 'fip_std_10'), ('ump_strikeouts_mean_3', 'ump_strikeouts_mean_3'),

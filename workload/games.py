@@ -272,8 +272,8 @@ CHAIN = f"""with {LOG}, {STARTERS}, pitcher_games as ({PITCHER_GAMES}), batter_g
     team_batting as ({TEAM_BATTING}), matchups as ({MATCHUPS}), hand_rates as ({HAND_RATES})"""
 
 
-def rounded(doubles, longs=(), dates=(), plain=()) -> str:
-    return ", ".join([r(c, c) for c in doubles] + [i(c, c) for c in longs] + [d(c, c) for c in dates] + list(plain))
+def rounded(doubles, longs=(), dates=(), plain=(), shift: float = 0.0) -> str:
+    return ", ".join([r(c, c, shift=shift) for c in doubles] + [i(c, c) for c in longs] + [d(c, c) for c in dates] + list(plain))
 
 
 _TEAM_DOUBLES = [c for c in _TEAM_DERIVED if not c.endswith("plate_appearances")] + [
