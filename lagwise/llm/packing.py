@@ -27,6 +27,7 @@ WINDOW = 4096
 GRID = 4
 END = 2
 SEED = 23
+TOGETHER = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -37,17 +38,31 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, text: str = "t
         cache = WordCache.shared(tokenizer)
         for batch in batches:
             out: list[tuple] = []
-            for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())):
-                ids = cache.ids(data.as_py() or b"", END)
-                for a in range(0, len(ids), window):
-                    part = ids[a : a + window]
-                    out.append((doc, a, len(part), zlib.crc32(part.tobytes()), len(ids)))
+            for some, texts in _lots(batch):
+                for doc, ids in zip(some, cache.ids_of(texts, END)):
+                    for a in range(0, len(ids), window):
+                        part = ids[a : a + window]
+                        out.append((doc, a, len(part), zlib.crc32(part.tobytes()), len(ids)))
             columns = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[f.split()[0] for f in PIECES.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, PIECES)
 
 
+def _lots(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
+    """Identifiers and texts of a batch, about ``TOGETHER`` bytes of text at a time."""
+    some, texts, size = [], [], 0
+    for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())):
+        some.append(doc)
+        texts.append(data.as_py() or b"")
+        size += len(texts[-1])
+        if size >= TOGETHER:
+            yield some, texts
+            some, texts, size = [], [], 0
+    if some:
+        yield some, texts
+
+
 def combinations(units: int, present: np.ndarray) -> np.ndarray:
     """All (i, j, k) with i >= j >= k >= 0 that sum to ``units``, of present lengths only."""
     have = np.flatnonzero(present)

@@ -3,29 +3,34 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 
 CACHE_WORDS = 250_000
+LONG_WORD = 256  # bytes; longer words are not kept
+TOGETHER = 1 << 12  # bytes of new words that are encoded in one call
 
 
-class WordCache(dict):
+class WordCache:
     """Ids of a text as those of its words between ASCII white space.
 
     That is exact for tokenizers whose normaliser and pre-tokenizer drop white space and
     never look across it. Encoded words are kept, at most twice ``CACHE_WORDS`` of them: a
-    full generation replaces the one before it. Control strings in texts are plain text.
+    full generation replaces the one before it. New words are encoded many at a time, with
+    a space between, and told apart by where each token starts. Control strings in texts
+    are plain text.
     """
 
     _shared: dict[str, WordCache] = {}
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     @classmethod
@@ -35,19 +40,52 @@ class WordCache(dict):
             cls._shared[path] = cls(path)
         return cls._shared[path]
 
-    def __missing__(self, word: bytes) -> bytes:
-        made = self.old.get(word)
-        if made is None:
-            found = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-            made = np.array(found, dtype="<u4").tobytes()
-        if len(self) >= CACHE_WORDS:
-            self.old = dict(self)
-            self.clear()
-        if len(word) <= 256:
-            self[word] = made
-        return made
-
     def ids(self, text: bytes, end: int | None = None) -> np.ndarray:
-        data = b"".join([self[w] for w in text.split()])
+        """Ids of a text, with ``end`` after them if it is given."""
+        return self.ids_of([text], end)[0]
+
+    def ids_of(self, texts: Sequence[bytes], end: int | None = None) -> list[np.ndarray]:
+        """The same for several texts, whose new words are encoded together."""
+        words = [t.split() for t in texts]
+        made = [list(map(self.known.get, w)) for w in words]
+        new = self._learn(list(dict.fromkeys(w for ws, ms in zip(words, made) for w, m in zip(ws, ms) if m is None)))
         tail = b"" if end is None else np.array([end], dtype="<u4").tobytes()
-        return np.frombuffer(data + tail, dtype="<u4")
+        out = []
+        for ws, ms in zip(words, made):
+            data = b"".join([new[w] if m is None else m for w, m in zip(ws, ms)])
+            out.append(np.frombuffer(data + tail, dtype="<u4"))
+        return out
+
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that the young generation lacks; it takes them in."""
+        found = {w: self.old.get(w) for w in words}
+        for some in _lots([w for w, ids in found.items() if ids is None]):
+            found.update(zip(some, self._encode(some)))
+        for w, ids in found.items():
+            if len(w) <= LONG_WORD:
+                if len(self.known) >= CACHE_WORDS:
+                    self.known, self.old = {}, self.known
+                self.known[w] = ids
+        return found
+
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        made = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        ids = np.array(made.ids, dtype="<u4").tobytes()
+        if len(words) == 1:
+            return [ids]
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        edge = 4 * np.searchsorted(np.array([a for a, _ in made.offsets], dtype=np.int64), ends)
+        return [ids[a:b] for a, b in zip([0, *edge[:-1].tolist()], edge.tolist())]
+
+
+def _lots(words: list[bytes]) -> Iterator[list[bytes]]:
+    lot, size = [], 0
+    for w in words:
+        if lot and size + len(w) > TOGETHER:
+            yield lot
+            lot, size = [], 0
+        lot.append(w)
+        size += len(w) + 1
+    if lot:
+        yield lot
