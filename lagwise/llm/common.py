@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lagwise.session import apply_settings, ensure_checkpoint_dir, settle
 
-__all__ = ["ascii_lower", "components", "positions", "prepare", "ranked", "read", "settle", "word_count", "WORD"]
+__all__ = ["ascii_lower", "components", "positions", "prepare", "ranked", "read", "settle", "unwrapped", "whole", "word_count", "WORD"]
 
 # A word is a run of code points outside ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,6 +36,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole(df: DataFrame) -> DataFrame:
+    """All columns as one struct ``_row``, so that no name of theirs clashes with a working column."""
+    return df.select(F.struct("*").alias("_row"))
+
+
+def unwrapped(df: DataFrame) -> DataFrame:
+    """The columns that ``whole`` has put away, and nothing else."""
+    return df.select("_row.*")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagwise.llm.common import ascii_lower, settle
+from lagwise.llm.common import ascii_lower, settle, unwrapped, whole
 
 KEY = ["text_sha256", "_check", "_length"]
 FAN_IN = 16
@@ -93,8 +93,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", kee
     names = ["doc_id", "text_sha256"]
     stay = exact_dedup(docs, id_col, text, keep).where("kept").select(*names).distinct()
     stay = stay.select(F.xxhash64(*names).alias("_k"), *(F.col(n).alias(f"_{n}") for n in names))
-    digest = F.sha2(F.coalesce(ascii_lower(F.col(text)), F.lit("")), 256)
-    keyed = docs.withColumn("_digest", digest).withColumn("_k", F.xxhash64(F.col(id_col), F.col("_digest")))
-    same = (keyed["_k"] == stay["_k"]) & keyed[id_col].eqNullSafe(stay["_doc_id"]) & (keyed["_digest"] == stay["_text_sha256"])
-    place = F.row_number().over(Window.partitionBy("_k", id_col, "_digest").orderBy("_k"))
-    return keyed.join(stay, same, "left_semi").withColumn("_place", place).where("_place = 1").select(*docs.columns)
+    digest = F.sha2(F.coalesce(ascii_lower(F.col(f"_row.`{text}`")), F.lit("")), 256)
+    keyed = whole(docs).withColumn("_id", F.col(f"_row.`{id_col}`")).withColumn("_digest", digest)
+    keyed = keyed.withColumn("_k", F.xxhash64("_id", "_digest"))
+    same = (keyed["_k"] == stay["_k"]) & keyed["_id"].eqNullSafe(stay["_doc_id"]) & (keyed["_digest"] == stay["_text_sha256"])
+    place = F.row_number().over(Window.partitionBy("_k", "_id", "_digest").orderBy("_k"))
+    return unwrapped(keyed.join(stay, same, "left_semi").withColumn("_place", place).where("_place = 1"))

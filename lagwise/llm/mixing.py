@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagwise.llm.common import positions, ranked, settle, word_count
+from lagwise.llm.common import positions, ranked, settle, whole, word_count
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
@@ -186,12 +186,13 @@ def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame
     plan = mix_sources(docs, text=text, **options).where("taken > 0").select(*names, (F.col("taken") / F.col("size")).cast("int").alias("n"))
     plan = plan.groupBy(*names).agg(F.sum("n").alias("_n"), F.count("*").alias("_rows"))
     plan = plan.select(F.xxhash64(*names).alias("_k"), *(F.col(c).alias(f"_{c}") for c in names), "_n", "_rows")
-    keyed = docs.withColumn("_k", F.xxhash64("doc_id", "source", word_count(F.col(text))))
-    same = (keyed["_k"] == plan["_k"]) & keyed["doc_id"].eqNullSafe(plan["_doc_id"]) & keyed["source"].eqNullSafe(plan["_source"])
-    found = keyed.join(plan, same).drop(plan["_k"])
+    keyed = whole(docs).withColumn("_key", F.xxhash64("_row.doc_id", "_row.source", word_count(F.col(f"_row.`{text}`"))))
+    doc_id, source = keyed["_row"]["doc_id"], keyed["_row"]["source"]
+    same = (keyed["_key"] == plan["_k"]) & doc_id.eqNullSafe(plan["_doc_id"]) & source.eqNullSafe(plan["_source"])
+    found = keyed.join(plan, same)
     place = F.row_number().over(Window.partitionBy("_k", "_doc_id", "_source").orderBy("_k"))
     # Equal rows take turns; nearly always there is one.
     copies = F.floor(F.col("_n") / F.col("_rows")) + F.when(F.col("_rows") > 1, (place <= F.col("_n") % F.col("_rows")).cast("int")).otherwise(0)
     return found.withColumn("_copies", copies.cast("int")).where("_copies > 0").select(
-        *(docs[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_copy")
-    ).drop("_copy")
+        "_row", F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_copy")
+    ).select("_row.*")

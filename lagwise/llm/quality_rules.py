@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lagwise.llm.common import unwrapped, whole
 from lagwise.llm.textstats import MEASURES, measured
 
 
@@ -145,12 +146,6 @@ def quality_rules(docs: DataFrame, policy: Policy = V1) -> DataFrame:
 
 def keep_good(docs: DataFrame, policy: Policy = V1, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass base rules and policy, all columns as they are."""
-    fields = measured(F.col(text))
-    judged = docs.withColumn("__m", fields)
-    bits = fail_bits([Rule(r.name, _qualified(r.fails)) for r in RULES])
-    judged = judged.withColumn("__bits", bits)
-    return judged.where(passes(BASE, "__bits") & passes(policy, "__bits")).select(*(F.col(f"`{c}`") for c in docs.columns))
-
-
-def _qualified(sql: str) -> str:
-    return " ".join(f"__m.{w}" if w in MEASURES else w for w in sql.split(" "))
+    judged = whole(docs).select("_row", measured(F.col(f"_row.`{text}`")).alias("_m")).select("_row", "_m.*")
+    judged = judged.withColumn("_bits", fail_bits())
+    return unwrapped(judged.where(passes(BASE, "_bits") & passes(policy, "_bits")))

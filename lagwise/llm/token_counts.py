@@ -219,19 +219,20 @@ def apply_edits(indexed: DataFrame, edits: DataFrame, tokenizer: str, pattern: s
     """
     from pyspark.sql import Window
 
-    from lagwise.llm.common import settle
+    from lagwise.llm.common import settle, unwrapped, whole
 
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq", "start", "length", "insert"))
     numbered = settle(edits.withColumn("_round", F.floor((order - 1) / per_round)), "edits")
     last = numbered.agg(F.max("_round")).first()[0]
     for i in range(0 if last is None else int(last) + 1):
-        some = numbered.where(F.col("_round") == i).groupBy("doc_id").agg(
+        some = numbered.where(F.col("_round") == i).groupBy(F.col("doc_id").alias("_id")).agg(
             F.array_sort(F.collect_list(F.struct("seq", "start", "length", "insert"))).alias("_e")
         )
-        joined = indexed.join(some, "doc_id", "left")
+        joined = whole(indexed).join(some, F.col("_row.doc_id") == F.col("_id"), "left")
         change = F.transform("_e", lambda e: F.struct(e["start"].cast("long").alias("start"), e["length"].cast("long").alias("length"), e["insert"].alias("insert")))
-        new = joined.withColumn("_new", edited(F.col("text"), F.col("tree"), change.cast(EDITS), tokenizer, pattern))
-        indexed = settle(new.withColumn("text", F.col("_new.text")).withColumn("tree", F.col("_new.tree")).drop("_new", "_e"), "edited")
+        new = joined.withColumn("_new", edited(F.col("_row.text"), F.col("_row.tree"), change.cast(EDITS), tokenizer, pattern))
+        row = F.col("_row").withField("text", F.col("_new.text")).withField("tree", F.col("_new.tree"))
+        indexed = settle(unwrapped(new.withColumn("_row", row)), "edited")
     return indexed
 
 

@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lagwise.llm.common import whole
+
 ALLOW, BLOCK = "allow", "block"
 TOKEN = "[^a-z0-9]+"
 
@@ -128,24 +130,24 @@ def match_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", defaul
     if not rules:
         return pages.withColumn("matched", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
     index = _constant(index_rules(rules, token_frequencies(pages, rules, url)))
+    # The struct keeps the pages' own columns apart from the working ones.
+    rows, address = whole(pages), F.col(f"_row.`{url}`")
     fetched = F.flatten(
         F.transform(
-            F.filter(tokens_of(F.col(url)), lambda t: F.map_contains_key(index, t)),
+            F.filter(tokens_of(address), lambda t: F.map_contains_key(index, t)),
             lambda t: F.element_at(index, t),
         )
     )
-    fits = F.filter(fetched, lambda r: F.regexp_like(F.col(url), r["pattern"]))
+    fits = F.filter(fetched, lambda r: F.regexp_like(address, r["pattern"]))
     best = F.array_max(
         F.transform(
             fits,
             lambda r: F.struct(r["rank"], r["size"], r["name"], r["verdict"]),
         )
     )
-    return (
-        pages.withColumn("_best", best)
-        .withColumn("matched", F.col("_best.name"))
-        .withColumn("verdict", F.coalesce(F.col("_best.verdict"), F.lit(default)))
-        .drop("_best")
+    kept = [F.col(f"_row.`{c}`") for c in pages.columns if c.lower() not in ("matched", "verdict")]
+    return rows.withColumn("_best", best).select(
+        *kept, F.col("_best.name").alias("matched"), F.coalesce(F.col("_best.verdict"), F.lit(default)).alias("verdict")
     )
 
 

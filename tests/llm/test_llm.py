@@ -74,6 +74,22 @@ def texts_by_id(rows):
     return {r[0]: r[1] for r in rows}
 
 
+def test_working_columns_clash_with_nothing(spark, docs, bpe):
+    names = ["_row", "_id", "_k", "_key", "_digest", "_place", "_m", "_bits", "_copies", "_doc_id", "_n", "_rows", "_stay", "a.b"]
+    names += ["_best", "_e", "_new", "text_sha256", "n_words", "fail_bits"]
+    taken = docs.where("doc_id < 40").withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    pages = taken.withColumn("url", F.lit("http://a.org/x"))
+    tree = with_trees(taken, *bpe)
+    edits = spark.createDataFrame([(12, 1, 0, 2, "new")], "doc_id long, seq int, start long, length long, insert string")
+    for got in (
+        keep_good(taken), drop_copies(taken), simhash.keep_one(taken), mixed_documents(taken),
+        match_urls(pages, [Rule("r", "a", ("a",), "block")]), apply_edits(tree, edits, *bpe),
+    ):
+        assert set(taken.columns) <= set(got.columns)
+        found = got.collect()
+        assert found and all(r[n] == f"{n}{r['doc_id']}" for r in found for n in names)
+
+
 # --- token counts -----------------------------------------------------------------------
 
 
