@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from lagwise.llm.chat_format import digest_chats, format_chats
@@ -9,12 +12,15 @@ from lagwise.llm.common import read
 from lagwise.llm.exact_dedup import exact_dedup
 from lagwise.llm.mixing import mix_sources
 from lagwise.llm.packing import pack_documents
+from lagwise.llm.periodic_runs import digests, periodic_runs
 from lagwise.llm.quality_classifier import classify
 from lagwise.llm.quality_rules import quality_rules
+from lagwise.llm.sharding import shard_documents
 from lagwise.llm.simhash import near_duplicates
 from lagwise.llm.substring_dedup import substring_dedup
 from lagwise.llm.token_counts import count_edited
 from lagwise.llm.url_filter import BAD_WORDS, filter_pages
+from lagwise.llm.whitening import whiten
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -204,6 +210,88 @@ from f
 """
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(read(spark, sf_dir, "documents"), shards=8)
+
+
+def sql_crc(data: str) -> str:
+    """CRC-32 of a blob, bit by bit, in DuckDB."""
+    one = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))"
+    hexes = f"list_transform(regexp_extract_all(hex({data}), '..'), lambda h: ('0x' || h)::bigint)"
+    return f"xor(list_reduce({hexes}, lambda c, b: {one}, 4294967295), 4294967295)"
+
+
+OP12_SQL = f"""
+with d as (
+  select doc_id, octet_length(encode(coalesce(text, ''))) + 1 as size, {sql_crc("encode(coalesce(text, ''))")} as text_crc32
+  from documents),
+p as (
+  select *, row_number() over o - 1 as pos, sum(size) over o - size as before, sum(size) over () as total
+  from d
+  window o as (order by doc_id nulls last, size, text_crc32 rows unbounded preceding)),
+s as (select *, ((2 * before + size) * 8 // (2 * total))::int as shard from p)
+select doc_id, size, text_crc32, 'bytes' as law, shard,
+  (pos - min(pos) over (partition by shard))::bigint as slot, null::int as grown_shard
+from s
+"""
+
+
+def repeated_tail(doc_id: object, n: int) -> np.ndarray | None:
+    """Which words to take: of one in ten documents, the tail repeats a stretch of its own."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    taken = np.arange(n)
+    taken[a:] = a + np.arange(n - a) % p
+    return taken
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(periodic_runs(read(spark, sf_dir, "documents"), alter=repeated_tail))
+
+
+# Pairs of equal words q apart, joined to stretches: a run is a stretch long enough.
+OP13_SQL = rf"""
+with d as (
+  select row_number() over () as row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws,
+    coalesce({sql_crc("encode(doc_id::varchar)")}, 1) as h
+  from documents),
+b as (select row, doc_id, ws, len(ws) as n, h, h // 10 as g, case when h % 10 = 0 and len(ws) > 0 then (h // 10) % len(ws) end as a from d),
+c as (select *, 1 + (n - a) // (3 + g % 8) as p from b),
+w as (
+  select row, n, i, ws[1 + case when a is null or i < a then i else a + (i - a) % p end] as word
+  from (select *, unnest(range(n)) as i from c)),
+same as (
+  select x.row, x.n, x.i, y.i - x.i as q
+  from w x join w y on x.row = y.row and x.word = y.word and y.i > x.i and y.i - x.i <= x.n // 4),
+stretch as (
+  select row, q, min(i) as start, count(*) + q as length
+  from (select *, i - row_number() over (partition by row, q order by i) as island from same)
+  group by row, q, island
+  having count(*) + q >= greatest(6, 4 * q)),
+runs as (select row, start, length, min(q) as period from stretch group by row, start, length),
+best as (
+  select row, count(*) as n_runs, min([-length, start, period]) as top,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines
+  from runs group by row),
+gone as (select distinct row, unnest(range(start + period, start + length)) as i from runs),
+kept as (
+  select row, string_agg(word, ' ' order by i) as words
+  from (select w.row, w.i, w.word from w anti join gone on w.row = gone.row and w.i = gone.i)
+  group by row)
+select c.doc_id, coalesce(n_runs, 0) as n_runs, top[2] as start, -top[1] as length, top[3] as period,
+  1000 * -top[1] // top[3] as exponent_milli, sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(words, '')) as collapsed_sha256
+from c left join best on c.row = best.row left join kept on c.row = kept.row
+"""
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_substring_dedup": op3_substring_dedup,
@@ -215,6 +303,9 @@ QUERIES = {
     "op5_url_filters": op5_url_filters,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_chat_formatting": op9_chat_formatting,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_sharding": op12_sharding,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE = {
     "op3_substring_dedup": OP3_SQL,
@@ -222,4 +313,6 @@ ORACLE = {
     "op6_exact_dedup": OP6_SQL,
     "op9_chat_formatting": OP9_SQL,
     "op10_quality_rules": OP10_SQL,
+    "op12_sharding": OP12_SQL,
+    "op13_periodic_runs": OP13_SQL,
 }
