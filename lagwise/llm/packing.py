@@ -3,8 +3,8 @@
 A document's ids are cut into full windows and one rest. Rests are counted by length in
 units of ``GRID`` tokens. Combinations of up to three lengths that fill a window exactly are
 enumerated; non-negative least squares finds how often to repeat each so that the histogram
-is met; the counts are rounded down to what is there, and what is left is packed greedily,
-largest first, again by length and count. The driver only ever sees the histogram, whose
+is met; the counts are rounded down to what is there, what is left is solved again, and the
+rest packed greedily, largest first, again by length and count. The driver only ever sees the histogram, whose
 size is set by the window and not by the data.
 
 Each piece then finds its sequence by its rank among the pieces of its length.
@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lagwise.llm.bytewise import slices
 from lagwise.llm.common import ranked, settle
 from lagwise.llm.tokens import WordCache
 
@@ -27,7 +28,8 @@ WINDOW = 4096
 GRID = 4
 END = 2
 SEED = 23
-TOGETHER = 1 << 20
+SOLVES = 6  # times that what is left is solved again
+TOGETHER = 8 << 20  # bytes of text that are told apart at once
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -36,33 +38,23 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordCache.shared(tokenizer)
+        end = np.array([END], dtype="<u4")
         for batch in batches:
             out: list[tuple] = []
-            for some, texts in _lots(batch):
-                for doc, ids in zip(some, cache.ids_of(texts, END)):
-                    for a in range(0, len(ids), window):
-                        part = ids[a : a + window]
-                        out.append((doc, a, len(part), zlib.crc32(part.tobytes()), len(ids)))
+            for a, b in slices(batch.column(1), TOGETHER):
+                flat, off = cache.ids_of(batch.column(1).slice(a, b - a))
+                bounds = off.tolist()
+                for doc, first, last in zip(batch.column(0).slice(a, b - a).to_pylist(), bounds, bounds[1:]):
+                    ids = np.concatenate([flat[first:last], end])
+                    for at in range(0, len(ids), window):
+                        part = ids[at : at + window]
+                        out.append((doc, at, len(part), zlib.crc32(part.tobytes()), len(ids)))
             columns = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[f.split()[0] for f in PIECES.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, PIECES)
 
 
-def _lots(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
-    """Identifiers and texts of a batch, about ``TOGETHER`` bytes of text at a time."""
-    some, texts, size = [], [], 0
-    for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())):
-        some.append(doc)
-        texts.append(data.as_py() or b"")
-        size += len(texts[-1])
-        if size >= TOGETHER:
-            yield some, texts
-            some, texts, size = [], [], 0
-    if some:
-        yield some, texts
-
-
 def combinations(units: int, present: np.ndarray) -> np.ndarray:
     """All (i, j, k) with i >= j >= k >= 0 that sum to ``units``, of present lengths only."""
     have = np.flatnonzero(present)
@@ -79,9 +71,11 @@ def combinations(units: int, present: np.ndarray) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros((0, 3), dtype=np.int64)
 
 
-def nnls(combos: np.ndarray, histogram: np.ndarray, rounds: int = 400) -> np.ndarray:
+def nnls(combos: np.ndarray, histogram: np.ndarray, tolerance: float = 1e-3, most: int = 3000) -> np.ndarray:
     """Repeat counts >= 0 that meet the histogram in least squares: projected gradient steps
-    with momentum. The matrix is held as the three lengths of each column."""
+    with momentum, until 25 steps change no usage by more than ``tolerance`` of all pieces or
+    ``most`` steps are done (a coarser solution is still a valid plan). The matrix is held as
+    the three lengths of each column."""
     n, size = len(combos), len(histogram)
     x = np.zeros(n)
     if not n:
@@ -101,7 +95,13 @@ def nnls(combos: np.ndarray, histogram: np.ndarray, rounds: int = 400) -> np.nda
         norm = np.linalg.norm(probe)
         probe /= norm
     look, momentum = x, 1.0
-    for _ in range(rounds):
+    last = usage(x)
+    for step in range(most):
+        if step % 25 == 24:
+            used = usage(x)
+            if np.abs(used - last).sum() <= tolerance * target.sum():
+                break
+            last = used
         residual = usage(look) - target
         residual[0] = 0
         new = np.maximum(look - residual[combos].sum(axis=1) / (1.05 * norm), 0)
@@ -112,26 +112,47 @@ def nnls(combos: np.ndarray, histogram: np.ndarray, rounds: int = 400) -> np.nda
 
 
 def plan(histogram: np.ndarray, units: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, repeats) of all sequences; every counted piece is in exactly one."""
-    left = histogram.astype(np.int64).copy()
-    out: list[tuple[tuple[int, ...], int]] = []
+    """(lengths, repeats) of all sequences; every counted piece is in exactly one.
+
+    Least squares may promise a length to more combinations than there are pieces; counts are
+    rounded down and taken while pieces last, and what is left is solved again while that
+    fills a good part of it. Should the greedy step alone need fewer sequences, its plan is
+    taken.
+    """
+    solved = _Taken(histogram)
+    solved.take((units,), int(solved.left[units]))
+    for _ in range(SOLVES):
+        before = int(solved.left.sum())
+        combos = combinations(units, solved.left > 0)
+        repeats = np.floor(nnls(combos, solved.left) + 1e-6).astype(np.int64)
+        for i in np.argsort(-repeats, kind="stable"):
+            if repeats[i] <= 0:
+                break
+            solved.take(tuple(int(v) for v in combos[i] if v), int(repeats[i]))
+        if before - int(solved.left.sum()) < before // 8:
+            break
+    plain = _Taken(histogram)
+    return min((_greedy(t, units) for t in (solved, plain)), key=lambda rows: sum(n for _, n in rows))
 
-    def take(lengths: tuple[int, ...], most: int) -> None:
+
+class _Taken:
+    """Sequences so far, and pieces that are left by length."""
+
+    def __init__(self, histogram: np.ndarray):
+        self.left, self.rows = histogram.astype(np.int64).copy(), []
+
+    def take(self, lengths: tuple[int, ...], most: int) -> None:
         used, times = np.unique(lengths, return_counts=True)
-        n = min(most, int((left[used] // times).min()))
+        n = min(most, int((self.left[used] // times).min()))
         if n > 0:
-            left[used] -= n * times
-            out.append((lengths, n))
-
-    take((units,), int(left[units]))
-    combos = combinations(units, left > 0)
-    repeats = np.rint(nnls(combos, left)).astype(np.int64)
-    for i in np.argsort(-repeats, kind="stable"):
-        if repeats[i] <= 0:
-            break
-        take(tuple(int(v) for v in combos[i] if v), int(repeats[i]))
-    while left[1:].any():
-        lengths, room, free = [], units, left.copy()
+            self.left[used] -= n * times
+            self.rows.append((lengths, n))
+
+
+def _greedy(taken: _Taken, units: int) -> list[tuple[tuple[int, ...], int]]:
+    """Packs what is left, largest first, each time as often as it can be repeated."""
+    while taken.left[1:].any():
+        lengths, room, free = [], units, taken.left.copy()
         while True:
             fits = np.flatnonzero(free[1 : room + 1]) + 1
             if not len(fits):
@@ -139,8 +160,8 @@ def plan(histogram: np.ndarray, units: int) -> list[tuple[tuple[int, ...], int]]
             lengths.append(int(fits[-1]))
             free[fits[-1]] -= 1
             room -= int(fits[-1])
-        take(tuple(lengths), int(left.max()))
-    return out
+        taken.take(tuple(lengths), int(taken.left.max()))
+    return taken.rows
 
 
 def places(sequences: list[tuple[tuple[int, ...], int]], units: int) -> list[tuple[int, int, int, int, int]]:
@@ -167,7 +188,8 @@ def pack(found: DataFrame, window: int = WINDOW, grid: int = GRID, seed: int = S
     schema = "_u int, _a long, _b long, _times long, _base long"
     table = spark.createDataFrame(places(plan(histogram, units), units), schema)
     sizes = spark.createDataFrame([(r["_u"], r["_n"]) for r in counts], "_u int, _n long")
-    # Both tables are bounded by the number of lengths, units = window / grid.
+    # ``sizes`` has a row per length in use; ``table`` a row per use of a length in a
+    # combination: at most 3 * units^2 / 12 of them and the greedy rest, whatever the data.
     rows = sized.join(F.broadcast(sizes), "_u")
     order = [F.col(c) for c in ("doc_id", "start", "ids_crc32")]
     at = ranked(rows, ["_u"], "_n", order, seed, "_rank")
