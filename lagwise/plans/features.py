@@ -129,15 +129,8 @@ def hand_rates(batters: DataFrame, starters: DataFrame) -> DataFrame:
     )
 
 
-def opponent_features(
-    matchups: DataFrame,
-    batters: DataFrame,
-    starters: DataFrame,
-    windows: Sequence[int] = B.ROLLING_WINDOWS,
-    halflife: float | None = B.EWM_HALFLIFE,
-    max_rows: int | None = MAX_ROWS_PER_TASK,
-) -> DataFrame:
-    """Rolling columns per (pitcher, opponent) and per (opponent, hand)."""
+def opponent_rows(matchups: DataFrame, batters: DataFrame, starters: DataFrame) -> DataFrame:
+    """Matchups with the opponent's rates against the starter's hand: a function of the game."""
     rates = hand_rates(batters, starters)
     by_side = pivot_first(
         rates, ["game_pk", "opponent_team"], "pitcher_hand", {"L": "L", "R": "R"}, {"team_ops": "team_ops_vs_{}HP"}
@@ -147,13 +140,27 @@ def opponent_features(
     df = coalescing_join(df, rates.drop("team_ops"), ["game_pk", "opponent_team", "pitcher_hand"])
     df = coalescing_join(df, by_side, ["game_pk", "opponent_team"])
     sides = {"bat_ops": "bat_ops", "bat_strikeout_rate": "bat_k_rate"}
-    df = by_hand(df, {s: o for s, o in sides.items() if s in df.columns})
-    order = ["game_date", "game_pk", "pitcher_id"]
-    pair, side = ["pitcher_id", "opponent_team"], ["opponent_team", "pitcher_hand"]
-    pair_sizes, side_sizes = measure(matchups, pair, max_rows), measure(matchups, side, max_rows)
-    df = _bundle(df, pair, order, B.CONTEXT_ROLLING, "opp_", windows, halflife, pair_sizes)
+    return by_hand(df, {s: o for s, o in sides.items() if s in df.columns})
+
+
+BY_GAME = ["game_date", "game_pk", "pitcher_id"]
+PAIR, HAND = ["pitcher_id", "opponent_team"], ["opponent_team", "pitcher_hand"]
+
+
+def opponent_features(
+    matchups: DataFrame,
+    batters: DataFrame,
+    starters: DataFrame,
+    windows: Sequence[int] = B.ROLLING_WINDOWS,
+    halflife: float | None = B.EWM_HALFLIFE,
+    max_rows: int | None = MAX_ROWS_PER_TASK,
+) -> DataFrame:
+    """Rolling columns per (pitcher, opponent) and per (opponent, hand)."""
+    df = opponent_rows(matchups, batters, starters)
+    pair_sizes, side_sizes = measure(matchups, PAIR, max_rows), measure(matchups, HAND, max_rows)
+    df = _bundle(df, PAIR, BY_GAME, B.CONTEXT_ROLLING, "opp_", windows, halflife, pair_sizes)
     hand_values = [c for c in B.TEAM_HAND_ROLLING if c in df.columns]
-    df = _bundle(df, side, order, hand_values, "team_hand_", windows, halflife, side_sizes)
+    df = _bundle(df, HAND, BY_GAME, hand_values, "team_hand_", windows, halflife, side_sizes)
     return df.drop(*hand_values)
 
 
@@ -187,6 +194,9 @@ def with_surroundings(matchups: DataFrame) -> DataFrame:
     return df.withColumn("travel_distance", distance).drop("_away", "_home_lat", "_home_lon", "_away_lat", "_away_lon")
 
 
+SURROUNDING_KEYS = (("hp_umpire", "ump_"), ("weather", "wx_"), ("home_team", "venue_"))
+
+
 def contextual_features(
     matchups: DataFrame,
     windows: Sequence[int] = B.ROLLING_WINDOWS,
@@ -200,11 +210,10 @@ def contextual_features(
     rolling columns of that bundle.
     """
     df = with_surroundings(matchups)
-    order = ["game_date", "game_pk", "pitcher_id"]
-    for key, prefix in (("hp_umpire", "ump_"), ("weather", "wx_"), ("home_team", "venue_")):
+    for key, prefix in SURROUNDING_KEYS:
         if key in df.columns:
             sizes = measure(matchups, [key], max_rows)
-            df = _bundle(df, [key], order, B.CONTEXT_ROLLING, prefix, windows, halflife, sizes)
+            df = _bundle(df, [key], BY_GAME, B.CONTEXT_ROLLING, prefix, windows, halflife, sizes)
     return df
 
 
@@ -253,6 +262,25 @@ def pair_history(
     )
 
 
+def lineup_values(lineups: DataFrame) -> list[str]:
+    ids = {"game_pk", "pitcher_id", "batter_id", "batting_order", "catcher_id"}
+    return [c for c in numeric_columns(lineups) if c not in ids]
+
+
+def lineup_games(lineups: DataFrame, starters: DataFrame, values: Sequence[str] | None = None) -> DataFrame:
+    """The mean of each lineup's values per (game, pitcher) that met it."""
+    values = lineup_values(lineups) if values is None else values
+    faced = starters.select(
+        "game_pk", "pitcher_id", F.col("game_date").cast("date").alias("game_date"), F.col("opponent_team").alias("_team")
+    )
+    if "pitcher_id" in lineups.columns:
+        joined = lineups.drop("game_date").join(faced.drop("_team"), ["game_pk", "pitcher_id"])
+    else:
+        team = "team" if "team" in lineups.columns else "opponent_team"
+        joined = lineups.drop("game_date").withColumnRenamed(team, "_team").join(faced, ["game_pk", "_team"])
+    return joined.groupBy("game_pk", "pitcher_id", "game_date").agg(*[F.avg(c).alias(c) for c in values])
+
+
 def lineup_trends(
     lineups: DataFrame,
     starters: DataFrame,
@@ -266,18 +294,8 @@ def lineup_trends(
     Lineups have a row per batter; they are averaged to one row per (game, pitcher)
     first, so that the previous row is the previous game.
     """
-    ids = {"game_pk", "pitcher_id", "batter_id", "batting_order", "catcher_id"}
-    if values is None:
-        values = [c for c in numeric_columns(lineups) if c not in ids]
-    faced = starters.select(
-        "game_pk", "pitcher_id", F.col("game_date").cast("date").alias("game_date"), F.col("opponent_team").alias("_team")
-    )
-    if "pitcher_id" in lineups.columns:
-        joined = lineups.drop("game_date").join(faced.drop("_team"), ["game_pk", "pitcher_id"])
-    else:
-        team = "team" if "team" in lineups.columns else "opponent_team"
-        joined = lineups.drop("game_date").withColumnRenamed(team, "_team").join(faced, ["game_pk", "_team"])
-    games = joined.groupBy("game_pk", "pitcher_id", "game_date").agg(*[F.avg(c).alias(c) for c in values])
+    values = lineup_values(lineups) if values is None else values
+    games = lineup_games(lineups, starters, values)
     sizes = measure(starters, ["pitcher_id"], max_rows)
     return _bundle(games, ["pitcher_id"], ["game_date", "game_pk"], values, "lineup_", windows, halflife, sizes)
 
@@ -307,19 +325,13 @@ def slot_trends(
     return wide
 
 
-def catcher_features(
-    lineups: DataFrame,
-    metrics: DataFrame,
-    starters: DataFrame,
-    inferred: DataFrame | None = None,
-    windows: Sequence[int] = B.ROLLING_WINDOWS,
-    halflife: float | None = B.EWM_HALFLIFE,
-    max_rows: int | None = MAX_ROWS_PER_TASK,
+def catcher_rows(
+    lineups: DataFrame, metrics: DataFrame, starters: DataFrame, inferred: DataFrame | None = None
 ) -> DataFrame:
-    """Rolling framing columns of the catcher each starter works with.
+    """Framing metrics of the catcher each starter works with: a function of the game.
 
     The catcher comes from the lineup, or from ``inferred`` (game, team, catcher) if the
-    lineup does not say. One row per (game, catcher, pitcher) is kept before rolling.
+    lineup does not say. One row per (game, catcher, pitcher) is kept.
     """
     if "catcher_id" in lineups.columns:
         known = lineups.select("game_pk", "team", "catcher_id").distinct()
@@ -328,12 +340,25 @@ def catcher_features(
     dated = starters.select(
         "game_pk", F.col("pitching_team").alias("team"), "pitcher_id", F.col("game_date").cast("date").alias("game_date")
     )
-    values = [c for c in numeric_columns(metrics) if c not in ("game_pk", "catcher_id")]
-    joined = coalescing_join(
+    return coalescing_join(
         known.join(dated, ["game_pk", "team"], "left"),
         metrics.withColumn("game_date", F.col("game_date").cast("date")),
         ["game_pk", "catcher_id"],
     ).distinct()
+
+
+def catcher_features(
+    lineups: DataFrame,
+    metrics: DataFrame,
+    starters: DataFrame,
+    inferred: DataFrame | None = None,
+    windows: Sequence[int] = B.ROLLING_WINDOWS,
+    halflife: float | None = B.EWM_HALFLIFE,
+    max_rows: int | None = MAX_ROWS_PER_TASK,
+) -> DataFrame:
+    """Rolling framing columns of the catcher each starter works with."""
+    joined = catcher_rows(lineups, metrics, starters, inferred)
+    values = [c for c in numeric_columns(metrics) if c not in ("game_pk", "catcher_id")]
     sizes = measure(joined, ["catcher_id"], max_rows)
     return _bundle(
         joined, ["catcher_id"], ["game_date", "game_pk", "pitcher_id"], values, "catcher_", windows, halflife, sizes
