@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagwise.models.features import (
@@ -97,6 +97,9 @@ def _boost(make, rows: DataFrame, ahead: DataFrame, limit: int, patience: int):
         rounds = min(limit, 2 * rounds)
 
 
+_SAVED = "features array<string>, categorical array<string>, target string"
+
+
 @dataclass
 class Trained:
     model: PipelineModel
@@ -119,7 +122,16 @@ class Trained:
         return importance_table(spark, [*self.features, *self.categorical], weights)
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(path)
+        """The fitted stages, and a row of what else is needed to use them."""
+        self.model.write().overwrite().save(f"{path}/stages")
+        row = [(self.features, self.categorical, self.target)]
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame(row, _SAVED).coalesce(1).write.mode("overwrite").json(f"{path}/columns")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Trained:
+        row = spark.read.schema(_SAVED).json(f"{path}/columns").first()
+        return Trained(PipelineModel.load(f"{path}/stages"), list(row.features), list(row.categorical), row.target)
 
 
 def train(

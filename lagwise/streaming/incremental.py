@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
-from lagwise.operators.joins import dedup
 from lagwise.session import settle
+from lagwise.sources.store import Store, Table
 from lagwise.sources.tables import SEASON, latest_date, read_table, table_exists, write_table
+from lagwise.streaming.stages import Stage, bring_in
 
 
 def newer_than(df: DataFrame, mark, date: str = "game_date") -> DataFrame:
@@ -102,28 +103,34 @@ def stream_refresh(
     spark: SparkSession,
     arrivals: str,
     schema: T.StructType | str,
-    raw: str,
-    target: str,
-    compute: Callable[[DataFrame], DataFrame],
-    row_key: Sequence[str],
+    store: Store,
+    raw: Table,
+    stages: Sequence[Stage],
     checkpoint: str,
-    group_keys: Sequence[str] | None = None,
-    date: str = "game_date",
+    deleted: str | None = None,
+    files_per_batch: int | None = None,
 ) -> StreamingQuery:
     """Process every file that has arrived, then stop; run it again for the next files.
 
-    A batch may be delivered twice after a failure, so its raw rows replace the folder of
-    that batch, and ``refresh`` looks for rows not yet stored.
+    Raw rows are kept in the store by season and bucket. A batch is compared with the buckets
+    that its rows fall into, and the stages recompute the groups that it changes; what else
+    history holds is not read. Rows whose column ``deleted`` is true take their key out. Raw
+    rows and derived tables become visible together. A batch that is delivered twice after a
+    failure finds its rows stored and changes nothing.
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{raw}/batch={batch_id}")
-        rows = dedup(spark.read.parquet(raw).drop("batch"), row_key)
-        refresh(spark, rows, target, compute, row_key, group_keys, date)
-
+        rows, gone = batch, None
+        if deleted:
+            flag = F.coalesce(F.col(deleted), F.lit(False))
+            rows, gone = batch.where(~flag).drop(deleted), {raw.name: batch.where(flag).drop(deleted)}
+        bring_in(store, [raw], stages, {raw.name: rows}, gone)
+
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return (
-        spark.readStream.schema(schema)
-        .parquet(arrivals)
+        reader.parquet(arrivals)
         .writeStream.foreachBatch(on_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

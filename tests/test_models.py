@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from lagwise.models import features as MF
 from lagwise.models import training as MT
 from lagwise.sources.tables import read_csv, write_csv
-from pyspark.ml import PipelineModel
 
 
 @pytest.fixture(scope="module")
@@ -54,7 +53,9 @@ def test_models_train_save_and_score(matrix, tmp_path, kind, params):
     top = fitted.importances(matrix.sparkSession).first()
     assert top.feature in ("x1_mean_3", "home_team")
     fitted.save(str(tmp_path / kind))
-    assert len(PipelineModel.load(str(tmp_path / kind)).stages) == len(fitted.model.stages)
+    again = MT.Trained.load(matrix.sparkSession, str(tmp_path / kind))
+    assert (again.features, again.categorical, again.target) == (fitted.features, fitted.categorical, fitted.target)
+    assert again.evaluate(ahead).first() == row
 
 
 def test_cross_validation_search_and_holdout(matrix):

@@ -28,7 +28,10 @@ def _feeds(spark, sf_dir):
 
     officials = F.expr(
         "array(named_struct('officialType', 'First Base', 'official', named_struct('fullName', 'U1')),"
-        " named_struct('officialType', 'Home Plate', 'official', named_struct('fullName', hp_umpire)))"
+        " named_struct('officialType', 'Home Plate', 'official', named_struct('fullName', hp_umpire)),"
+        " named_struct('officialType', 'Third Base', 'official', named_struct('fullName', 'early')),"
+        " named_struct('officialType', case when game_pk % 2 = 0 then 'Second Base' end, 'official', named_struct('fullName', 'U2')),"
+        " named_struct('officialType', 'Third Base', 'official', named_struct('fullName', concat('U', cast(game_pk % 7 as string)))))"
     )
     game = _struct(
         calendarEventID="case when game_pk % 3 = 0 then concat('14-1-', cast(game_date as string)) else concat('id-', cast(game_date as string), '-x') end",
@@ -56,7 +59,7 @@ def _feeds(spark, sf_dir):
 
 
 def game_feed(spark, sf_dir):
-    return tidy(nested.game_feed_rows(_feeds(spark, sf_dir))[0].drop("2b_umpire", "3b_umpire"))
+    return tidy(nested.game_feed_rows(_feeds(spark, sf_dir))[0])
 
 
 def game_feed_rejects(spark, sf_dir):
@@ -156,7 +159,8 @@ _OK = "game_pk % 10 <> 3 and game_pk % 16 <> 0 and game_pk % 17 <> 0"
 _PROBABLE = "select * from orders where o_orderkey % 7 <> 0 and o_orderkey % 11 <> 0 and o_orderkey <> 0"
 ORACLE = {
     "game_feed": f"""{CHAIN} select {i('game_pk', 'game_pk')}, {d('game_date', 'game_date')}, away_team, home_team, {i('1', 'game_number')}, 'N' as double_header,
-        replace(away_pitcher_ids, ' ', '') as away_pitcher_ids, home_pitcher_ids, hp_umpire, 'U1' as "1b_umpire", weather,
+        replace(away_pitcher_ids, ' ', '') as away_pitcher_ids, home_pitcher_ids, hp_umpire, 'U1' as "1b_umpire",
+        case when game_pk % 2 = 0 then 'U2' end as "2b_umpire", 'U' || game_pk % 7 as "3b_umpire", weather,
         {r('try_cast(temp as double)', 'temp')}, wind, {r('elevation', 'elevation')}, case when game_pk % 2 = 0 then 'day' else 'night' end as "dayNight",
         case when game_pk % 4 = 0 then 'TBD' else '05:10 PM' end as first_pitch from box where {_OK}""",
     "game_feed_rejects": f"""{CHAIN} select {i('game_pk', 'game_pk')}, case when game_pk % 10 = 3 then 'not final' when game_pk % 16 = 0 then 'other league'

@@ -199,8 +199,16 @@ def feature_matrix_full(spark, sf_dir):
     df = matrix.finish_matrix(joined)
     texts = {f.name for f in df.schema.fields if f.dataType.simpleString() in ("string", "date")}
     names = [c for c in df.columns if c not in (*IDS, "strikeouts") and c not in texts]
-    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in names])
-    return tidy(df.select(*IDS, F.inline(cells)).where("value is not null"))
+    return tidy(long_form(df, IDS, names))
+
+
+def long_form(df, ids, names):
+    """A row per id and column that has a value. The names are joined on by number, so that
+    the plan holds each column once."""
+    values = ", ".join(f"cast(`{c}` as double)" for c in names)
+    listed = df.sparkSession.createDataFrame(list(enumerate(names)), "_at int, name string")  # a row per column
+    cells = df.selectExpr(*ids, f"posexplode(array({values})) as (_at, value)").where("value is not null")
+    return cells.join(F.broadcast(listed), "_at").select(*ids, "name", "value")
 
 
 MATRIX_DOUBLES = [
@@ -337,7 +345,7 @@ def _cells_of(names: dict) -> str:
     return ", ".join(f"cast({t}.{c} as double) as {c}" for t, cs in names.items() for c in cs)
 
 
-_WIDE_NAMES = [c for names in (_ROLLED, _PLAIN) for cs in names.values() for c in cs] + [f"opp_batter_{c}" for c in _PAIR_ALL]
+WIDE_NAMES = _WIDE_NAMES = [c for names in (_ROLLED, _PLAIN) for cs in names.values() for c in cs] + [f"opp_batter_{c}" for c in _PAIR_ALL]
 _TEXT_NAMES = [c for cs in _TEXT.values() for c in cs]
 _FULL_MATRIX_SQL = f"""{_FULL},
     a as materialized ({bundle('select * from pitchers', 'pitcher_id', 'game_date, game_pk', FULL_VALUES)}),
@@ -361,6 +369,8 @@ _FULL_MATRIX_SQL = f"""{_FULL},
     words as materialized (unpivot (select game_pk, pitcher_id, strikeouts, train, {', '.join(_TEXT_NAMES)} from wide) on {', '.join(_TEXT_NAMES)} into name name value word),
     means as (select name, word, avg(strikeouts) as value from words where train group by name, word)"""
 
+CELLS_SQL = f"""{_FULL_MATRIX_SQL} select {i('game_pk', 'game_pk')}, {i('pitcher_id', 'pitcher_id')}, name, {r('value', 'value')} from cells"""
+
 
 def _clip(c: str) -> str:
     return f"(case when j.{c} is not null then least(greatest(j.{c}, {c}_lo), {c}_hi) end)"
