@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lagwise.session import apply_settings, ensure_checkpoint_dir, settle
 
-__all__ = ["ascii_lower", "components", "positions", "prepare", "ranked", "read", "settle", "unwrapped", "whole", "word_count", "WORD"]
+__all__ = ["ascii_lower", "components", "positions", "prepare", "ranked", "read", "settle", "unwrapped", "whole", "whole_order", "word_count", "WORD"]
 
 # A word is a run of code points outside ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,6 +46,17 @@ def unwrapped(df: DataFrame) -> DataFrame:
     return df.select("_row.*")
 
 
+def whole_order(df: DataFrame) -> list[Column]:
+    """Columns that put rows of ``whole(df)`` in an order, whatever their types: rows that
+    differ in any column have places of their own."""
+    out = []
+    for f in df.schema.fields:
+        c = F.col("_row").getField(f.name)
+        plain = not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))
+        out.append(c if plain else F.to_json(F.struct(c.alias("c"))))
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

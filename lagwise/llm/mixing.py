@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagwise.llm.common import positions, ranked, settle, whole, word_count
+from lagwise.llm.common import positions, ranked, settle, whole, whole_order, word_count
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
@@ -180,7 +180,8 @@ def mix_sources(
 def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as many times as it is taken, all its columns.
 
-    Rows that agree in doc_id, source and size share what is taken of them.
+    Rows that agree in doc_id, source and size share what is taken of them, in the order of
+    all their columns, so that reruns agree.
     """
     names = ["doc_id", "source", "size"]
     plan = mix_sources(docs, text=text, **options).where("taken > 0").select(*names, (F.col("taken") / F.col("size")).cast("int").alias("n"))
@@ -190,7 +191,7 @@ def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame
     doc_id, source = keyed["_row"]["doc_id"], keyed["_row"]["source"]
     same = (keyed["_key"] == plan["_k"]) & doc_id.eqNullSafe(plan["_doc_id"]) & source.eqNullSafe(plan["_source"])
     found = keyed.join(plan, same)
-    place = F.row_number().over(Window.partitionBy("_k", "_doc_id", "_source").orderBy("_k"))
+    place = F.row_number().over(Window.partitionBy("_k", "_doc_id", "_source").orderBy(*whole_order(docs)))
     # Equal rows take turns; nearly always there is one.
     copies = F.floor(F.col("_n") / F.col("_rows")) + F.when(F.col("_rows") > 1, (place <= F.col("_n") % F.col("_rows")).cast("int")).otherwise(0)
     return found.withColumn("_copies", copies.cast("int")).where("_copies > 0").select(

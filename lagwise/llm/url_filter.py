@@ -139,11 +139,8 @@ def match_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", defaul
         )
     )
     fits = F.filter(fetched, lambda r: F.regexp_like(address, r["pattern"]))
-    best = F.array_max(
-        F.transform(
-            fits,
-            lambda r: F.struct(r["rank"], r["size"], r["name"], r["verdict"]),
-        )
+    best = F.array_min(
+        F.transform(fits, lambda r: F.struct((-r["rank"]).alias("rank"), (-r["size"]).alias("size"), r["name"], r["verdict"]))
     )
     kept = [F.col(f"_row.`{c}`") for c in pages.columns if c.lower() not in ("matched", "verdict")]
     return rows.withColumn("_best", best).select(

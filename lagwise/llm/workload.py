@@ -45,7 +45,7 @@ site as (
   where (host = h or host like '%.' || h) and starts_with(path, p)
   group by all),
 word as (
-  select page_id, url, max_by('*' || w || '*', [length(w), -ascii(w)]) as pattern_rule
+  select page_id, url, arg_min('*' || w || '*', lpad((100 - length(w))::varchar, 3, '0') || w) as pattern_rule
   from parts, words
   where list_contains(string_split_regex(translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), w)
