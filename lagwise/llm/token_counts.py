@@ -18,6 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lagwise.llm.common import settle, unwrapped, whole
+from lagwise.operators.sequence import with_positions
+from lagwise.session import scratch_path
+
 SEGMENT = 256
 TREE = "struct<segments: int, chars: array<bigint>, tokens: array<bigint>>"
 EDITS = "array<struct<start: bigint, length: bigint, insert: string>>"
@@ -215,25 +219,31 @@ def apply_edits(indexed: DataFrame, edits: DataFrame, tokenizer: str, pattern: s
 
     Edits of a document go in order of ``seq``. They are taken in rounds of at most
     ``per_round`` a document, so a document that holds most of all edits never has them in
-    one row. Edits of unknown documents do nothing.
+    one row, and no task orders more of them than others. Documents without edits are not
+    rewritten, and those with few leave after their last round. Edits of unknown documents,
+    and of a null doc_id, do nothing; ``indexed`` is read twice.
     """
-    from pyspark.sql import Window
-
-    from lagwise.llm.common import settle, unwrapped, whole
-
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq", "start", "length", "insert"))
-    numbered = settle(edits.withColumn("_round", F.floor((order - 1) / per_round)), "edits")
-    last = numbered.agg(F.max("_round")).first()[0]
-    for i in range(0 if last is None else int(last) + 1):
+    spark = indexed.sparkSession
+    known = edits.where("doc_id is not null and seq is not null")
+    placed = with_positions(known, ["doc_id"], ["seq", "start", "length", "insert"], out="_at")
+    numbered = settle(placed.withColumn("_round", F.floor(F.col("_at") / per_round)), "edits")
+    ends = settle(numbered.groupBy(F.col("doc_id").alias("_id")).agg(F.max("_round").alias("_end")), "ends")
+    last = ends.agg(F.max("_end")).first()[0]
+    if last is None:
+        return indexed
+    rest = indexed.join(ends, indexed["doc_id"] == ends["_id"], "left_anti")
+    active, done = settle(whole(indexed).join(ends, F.col("_row.doc_id") == F.col("_id")), "active"), scratch_path(spark, "edited")
+    for i in range(int(last) + 1):
         some = numbered.where(F.col("_round") == i).groupBy(F.col("doc_id").alias("_id")).agg(
             F.array_sort(F.collect_list(F.struct("seq", "start", "length", "insert"))).alias("_e")
         )
-        joined = whole(indexed).join(some, F.col("_row.doc_id") == F.col("_id"), "left")
         change = F.transform("_e", lambda e: F.struct(e["start"].cast("long").alias("start"), e["length"].cast("long").alias("length"), e["insert"].alias("insert")))
-        new = joined.withColumn("_new", edited(F.col("_row.text"), F.col("_row.tree"), change.cast(EDITS), tokenizer, pattern))
+        new = active.join(some, "_id").withColumn("_new", edited(F.col("_row.text"), F.col("_row.tree"), change.cast(EDITS), tokenizer, pattern))
         row = F.col("_row").withField("text", F.col("_new.text")).withField("tree", F.col("_new.tree"))
-        indexed = settle(unwrapped(new.withColumn("_row", row)), "edited")
-    return indexed
+        made = settle(new.select("_id", "_end", row.alias("_row")), "edited")
+        unwrapped(made.where(F.col("_end") == i)).write.mode("append").parquet(done)
+        active = made.where(F.col("_end") > i)
+    return rest.unionByName(spark.read.parquet(done))
 
 
 def sample_edits(n_chars: Column, doc_id: Column, times: int = 3) -> Column:
