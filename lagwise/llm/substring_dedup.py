@@ -13,7 +13,9 @@ Data moved: about ten bytes a window, once, and the texts, once, to meet the ans
 are dealt by hashes into parts of ``PART`` bytes of text. Windows that repeat inside a batch
 of documents are settled there and travel as runs, so a passage that a third of all
 documents share is one entry per batch, and no block holds more of it than there are
-batches. Two windows count as equal if 64 bits of one hash and their block, taken from
+batches. A batch is cut into at most ``ROUTES`` rows: with more blocks than that, each row
+leads to a range of blocks and is cut again at the next level, so the number of rows grows
+with the input times the number of levels, not with its square. Two windows count as equal if 64 bits of one hash and their block, taken from
 another, agree.
 """
 
@@ -24,13 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagwise.llm.bytewise import gram_hashes, inside_text, texts_of, word_hashes, words_of
 
 WINDOW = 20
 PART = 8 << 20
+ROUTES = 256  # most rows of the index that a batch of documents is cut into at a time
+PRIME, FACTOR = 2**31 - 1, 1_103_515_245
 NO_ID = np.iinfo(np.int64).max  # a null doc_id comes after all others
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_factors long, kept_text string"
 
@@ -120,35 +124,80 @@ def _windows(ids: np.ndarray, text: pa.Array, window: int):
     return a.view(np.int64), b, ids[of], own - w.off[of]
 
 
-def _index_rows(batches, blocks: int, window: int, limit: int) -> Iterator[pa.RecordBatch]:
+def _dealt(ids: np.ndarray, parts: int) -> np.ndarray:
+    """Part of each identifier; ``_dealt_column`` says the same in SQL."""
+    return (ids % PRIME * FACTOR + 12345) % PRIME % parts
+
+
+def _dealt_column(ids: Column, parts: int) -> Column:
+    return ((F.pmod(ids, F.lit(PRIME)) * FACTOR + 12345) % PRIME % F.lit(parts)).cast("int")
+
+
+def spans(blocks: int, routes: int = ROUTES) -> list[int]:
+    """Blocks that a route of each level leads to; the last level's routes are blocks."""
+    out = [1]
+    while blocks > out[-1] * routes:
+        out.append(out[-1] * routes)
+    return out[::-1]
+
+
+def _routed(block, places, keys, known, blocks: int, span: int) -> pa.RecordBatch | None:
+    """A row per route that has entries. Entries that another level will deal carry their block."""
+    route, lot = block // span, _dealt(known[0], blocks) // span
+    by = np.lexsort((places[1], places[0], block, route))
+    ends = np.flatnonzero(np.diff(route[by], append=-1)) + 1 if len(by) else np.zeros(0, np.int64)
+    mine = {int(route[by[a]]): by[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())}
+    passing = {int(r): np.flatnonzero(lot == r) for r in np.unique(lot)}
+    rows = []
+    for r in sorted({*mine, *passing}):
+        some, through = mine.get(r, by[:0]), passing.get(r, by[:0])
+        columns = [places[0][some], places[1][some]] + ([block[some]] if span > 1 else [])
+        rows.append((r, encode(columns), keys[some].tobytes(), encode([c[through] for c in known])))
+    if not rows:
+        return None
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["block", "places", "keys", "known"])
+
+
+def _index_rows(batches, blocks: int, span: int, window: int, limit: int) -> Iterator[pa.RecordBatch]:
     for ids, text in _batched(batches, limit):
         key, other, doc, start = _windows(ids, text, window)
         first, later, of = earliest(key, doc, start)
         block = (other[first] % np.uint64(blocks)).astype(np.int64)
-        by = first[np.lexsort((start[first], doc[first], block))]
-        edge = np.concatenate([[0], np.cumsum(np.bincount(block, minlength=blocks))])
-        known = factors(doc[later], start[later], np.ones(len(later), dtype=np.int64), doc[of], start[of])
         # Answers found here only pass through a block; any block will do.
-        lot = known[0] % blocks
-        rows = []
-        for i in range(blocks):
-            mine = by[edge[i] : edge[i + 1]]
-            passing = [c[lot == i] for c in known]
-            if len(mine) or len(passing[0]):
-                rows.append((i, encode([doc[mine], start[mine]]), key[mine].tobytes(), encode(passing)))
-        if rows:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))],
-                names=["block", "places", "keys", "known"],
-            )
+        known = factors(doc[later], start[later], np.ones(len(later), dtype=np.int64), doc[of], start[of])
+        made = _routed(block, [doc[first], start[first]], key[first], known, blocks, span)
+        if made is not None:
+            yield made
+
+
+def _reroute(batches, blocks: int, span: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The next level: entries of several batches, dealt to the routes below."""
+    held, size = [], 0
+
+    def flush():
+        places = [np.concatenate(c) for c in zip(*(h[0] for h in held))]
+        known = [np.concatenate(c) for c in zip(*(h[2] for h in held))]
+        return _routed(places[2], places[:2], np.concatenate([h[1] for h in held]), known, blocks, span)
+
+    for batch in batches:
+        for places, keys, known in zip(*(batch.column(n).to_pylist() for n in ("places", "keys", "known"))):
+            held.append((decode(places), np.frombuffer(keys, dtype=np.int64), decode(known)))
+            size += len(keys)
+            if size >= limit:
+                yield flush()
+                held, size = [], 0
+    if held:
+        yield flush()
 
 
 def _parts_of(columns: list[np.ndarray], parts: int) -> pa.Table:
     """Answers dealt to the part of their document."""
-    part = columns[0] % parts
+    part = _dealt(columns[0], parts)
     by = np.lexsort((columns[1], columns[0], part))
     edge = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
-    rows = [(i, encode([c[by[edge[i] : edge[i + 1]]] for c in columns])) for i in range(parts) if edge[i] < edge[i + 1]]
+    filled = np.flatnonzero(edge[1:] > edge[:-1]).tolist()
+    rows = [(i, encode([c[by[edge[i] : edge[i + 1]]] for c in columns])) for i in filled]
     found = list(zip(*rows)) or [[], []]
     return pa.table({"part": pa.array(found[0], pa.int32()), "answers": pa.array(found[1], pa.binary())})
 
@@ -188,7 +237,9 @@ def _cut(docs: pa.Table, answers: pa.Table, window: int, with_text: bool) -> pa.
     return pa.table({f.split()[0]: pa.array(c, kinds[f.split()[1]]) for f, c in zip(fields, columns)})
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, part: int = PART, text: str = "text", with_text: bool = True) -> DataFrame:
+def substring_dedup(
+    docs: DataFrame, window: int = WINDOW, part: int = PART, text: str = "text", with_text: bool = True, routes: int = ROUTES
+) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, n_factors[, kept_text]) per row of ``docs``.
 
     A word goes if a window of ``window`` words that covers it also starts earlier: in a
@@ -202,14 +253,17 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, part: int = PART, tex
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # As many blocks and parts as the volume asks for.
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // part))
-    index = rows.mapInArrow(
-        lambda it: _index_rows(it, n, window, part), "block int, places binary, keys binary, known binary"
-    )
+    schema = "block int, places binary, keys binary, known binary"
+    first, *below = spans(n, routes)
+    index = rows.mapInArrow(lambda it: _index_rows(it, n, first, window, part), schema)
+    for span in below:
+        # Many tasks share a route, so that none holds all of it.
+        salted = index.repartition(n, "block", F.xxhash64("keys"))
+        index = salted.mapInArrow(lambda it, span=span: _reroute(it, n, span, part), schema)
     answers = (
         index.repartition(n, "block").groupBy("block").applyInArrow(lambda t: _answer(t, n), "part int, answers binary")
     )
-    where = F.pmod(F.coalesce("doc_id", F.lit(int(NO_ID))), F.lit(n)).cast("int")
-    dealt = rows.withColumn("part", where)
+    dealt = rows.withColumn("part", _dealt_column(F.coalesce("doc_id", F.lit(int(NO_ID))), n))
     out = OUT if with_text else OUT.rpartition(",")[0]
     return dealt.repartition(n, "part").groupBy("part").cogroup(answers.repartition(n, "part").groupBy("part")).applyInArrow(
         lambda left, right: _cut(left, right, window, with_text), out

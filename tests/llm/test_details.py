@@ -139,3 +139,28 @@ def test_only_documents_with_edits_are_rewritten(spark, bpe):
     assert got[0].tree.tokens[1] == count(first) and len(got) == 4
     untouched = apply_edits(with_trees(table, *bpe), frame.limit(0), *bpe)
     assert untouched.count() == 4
+
+
+def test_index_levels_and_spread_of_documents(spark):
+    from lagwise.llm import substring_dedup as D
+
+    assert D.spans(200) == [1] and D.spans(257) == [256, 1] and D.spans(70_000) == [65536, 256, 1]
+    ids = np.arange(2000, dtype=np.int64) * 1000
+    parts = np.bincount(D._dealt(ids, 8), minlength=8)
+    assert parts.min() > 150 and parts.max() < 400
+    told = spark.createDataFrame([(int(i),) for i in [*ids[:50], -7, 2**62, D.NO_ID]], "i long").select("i", D._dealt_column(F.col("i"), 13).alias("p"))
+    for r in told.collect():
+        assert r.p == D._dealt(np.array([r.i]), 13)[0]
+    r = random.Random(1)
+    shared = " ".join(f"s{i}" for i in range(60))
+    rows = [(1000 * i, " ".join(f"w{r.randrange(300)}" for _ in range(r.randrange(80))) + (" " + shared if i % 3 == 0 else "")) for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [sorted((x.doc_id, x.n_removed, x.kept_sha256) for x in D.substring_dedup(table, part=700, routes=k).collect()) for k in (256, 3)]
+    assert got[0] == got[1] and sum(n for _, n, _ in got[0]) > 1000
+    sizes = []
+    for n in (60, 120):
+        docs = spark.createDataFrame([(i, f"{i} " + " ".join(f"w{r.randrange(10**6)}" for _ in range(60))) for i in range(n)], "doc_id long, text string")
+        blocks = n
+        first = docs.repartition(n // 10).mapInArrow(lambda it, b=blocks: D._index_rows(it, b, D.spans(b, 8)[0], 20, 3000), "block int, places binary, keys binary, known binary")
+        sizes.append(first.count())
+    assert sizes[1] <= 2.2 * sizes[0]
