@@ -27,8 +27,8 @@ def read_json_files(spark: SparkSession, path: str, schema: T.StructType | str)
     """One JSON document per file, over any number of lines: ``(rows, rejected)``.
 
     ``rows`` has the path, the body and the columns of the schema; ``rejected`` the path, the
-    body and the reason: ``empty file``, ``not JSON`` or ``other shape`` (JSON whose values do
-    not fit the schema).
+    body and the reason: ``empty file`` (white space only), ``not JSON`` or ``other shape``
+    (JSON whose values do not fit the schema). Files of no bytes at all hold no record.
     """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
     blank = F.trim(F.regexp_replace("body", r"\s+", " ")) == ""
