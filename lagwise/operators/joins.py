@@ -8,7 +8,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagwise.operators.sequence import BROADCAST_ROWS
+from lagwise.operators.sequence import BROADCAST_BYTES, BROADCAST_ROWS
 
 _SUFFIXES = re.compile(r"(?:_x|_y)+$")
 
@@ -95,10 +95,47 @@ def only_listed(df: DataFrame, listed: DataFrame, keys: Sequence[str]) -> DataFr
     return df.join(listed.select(*keys).distinct(), list(keys), "left_semi")
 
 
-def lookup_join(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
-    """Join a lookup table; broadcast only after checking that it is small."""
-    small = table.count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(table) if small else table, list(on), how)
+def fits_broadcast(table: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a table has at most so many rows, of so many bytes as text in all."""
+    if rows <= 0:
+        return False
+    seen = table.limit(rows + 1).agg(
+        F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct(*table.columns)))).alias("b")
+    ).first()
+    return seen.n <= rows and (seen.b or 0) <= size
+
+
+_MISSES = 1024
+
+
+def lookup_join(
+    df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Join a lookup table; broadcast only after checking that it is small.
+
+    A larger table is joined by shuffle. Rows that lack a key find nothing whatever happens,
+    so they are spread over many tasks by a hash of the row; a key that is hot is split by the
+    adaptive plan.
+    """
+    on = list(on)
+    if fits_broadcast(table, broadcast_rows):
+        return df.join(F.broadcast(table), on, how)
+    if how != "left":
+        return df.join(table, on, how)
+    lacking = F.lit(False)
+    for k in on:
+        lacking = lacking | F.col(k).isNull()
+    told = [_name(f.name) for f in df.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    spread = F.when(lacking, F.pmod(F.xxhash64(*told), F.lit(_MISSES)) + 1).otherwise(0).cast("int")
+    left = df.withColumn("_spread_l", spread).alias("l")
+    right = table.withColumn("_spread_r", F.lit(0)).alias("r")
+    same = F.col("l._spread_l") == F.col("r._spread_r")
+    for k in on:
+        same = same & (F.col(f"l.{_name(k)}") == F.col(f"r.{_name(k)}"))
+    # Keys first, as in a join on names.
+    rest = [c for c in df.columns if c not in on]
+    picked = [F.col(f"l.{_name(c)}") for c in [*on, *rest]] + [F.col(f"r.{_name(c)}") for c in table.columns if c not in on]
+    return left.join(right, same, "left").select(*picked)
 
 
 def fill_from(

@@ -27,8 +27,8 @@ from lagwise.session import is_plain_scan, settle
 
 MAX_ROWS_PER_TASK = 1_000_000
 # Hot-key lists and bucket tables up to this many rows are broadcast; larger ones are
-# joined by shuffle.
-BROADCAST_ROWS = 100_000
+# joined by shuffle. Lookup tables must be this small in bytes, too.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
 BLOCK, CORE, POS, SPREAD = "_block", "_core", "_pos", "_spread"
 _SPREAD_PARTS = 1 << 20
@@ -122,6 +122,27 @@ def _order_buckets(df: DataFrame, order: Sequence[str]) -> tuple[Column, Column]
     return F.coalesce(lead, lowest), F.coalesce(tie, no_tie)
 
 
+def ranged_positions(df: DataFrame, order: Sequence[str], max_rows: int = MAX_ROWS_PER_TASK, out: str = POS) -> DataFrame:
+    """Exact 0-based position of each row in the whole table.
+
+    Rows are ranged over partitions of at most about ``max_rows`` rows, so only the ranges'
+    row counts (one each) are put in order, on the driver, and each range is ranked in a task
+    of its own. The ranged table is stored, as its borders are drawn from a sample and must
+    not move between two readings. A NULL in the order comes first.
+    """
+    spark = df.sparkSession
+    df = df if is_plain_scan(df) else settle(df, "rows")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // max_rows))
+    ranged = settle(df.repartitionByRange(parts, *order).withColumn(_SUB, F.spark_partition_id()), "ranged")
+    starts, total = [], 0
+    for r in sorted(ranged.groupBy(_SUB).count().collect(), key=lambda r: r[_SUB]):
+        starts.append((r[_SUB], total))
+        total += r["count"]
+    before = F.broadcast(spark.createDataFrame(starts, f"{_SUB} int, _start long"))
+    inside = F.row_number().over(Window.partitionBy(_SUB).orderBy(*order))
+    return ranged.withColumn(out, inside).join(before, _SUB).withColumn(out, F.col("_start") + F.col(out) - 1).drop(_SUB, "_start")
+
+
 def with_positions(
     df: DataFrame,
     keys: Sequence[str],
@@ -131,10 +152,12 @@ def with_positions(
 ) -> DataFrame:
     """Exact 0-based position of each row inside its key, with bounded tasks.
 
-    ``keys`` may be empty, which ranks the whole table without a global sort.
-    ``order`` must be unique inside a key.
+    ``keys`` may be empty, which ranks the whole table without a global sort: see
+    ``ranged_positions``. ``order`` must be unique inside a key.
     """
     keys, order = list(keys), list(order)
+    if not keys:
+        return ranged_positions(df, order, max_rows, out)
     lead, tie = _order_buckets(df, order)
     rows = df.withColumns({_LEAD: lead, _TIE: tie})
     bucket = keys + [_LEAD]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,6 +70,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/lagwise-{name}-{uuid.uuid4().hex}"
 
 
+# Paths of the tables that are settled inside ``passing``, innermost last.
+_scopes: list[list[str]] = []
+
+
 def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     """Write ``df`` once and read it back, so that later passes do not repeat its work.
 
@@ -76,9 +81,30 @@ def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return df.sparkSession.read.parquet(path)
 
 
+def release(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Empties scratch tables that nothing reads any more."""
+    for path in paths:
+        spark.createDataFrame([], "x int").write.mode("overwrite").parquet(path)
+
+
+def passing(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> tuple[DataFrame, str]:
+    """Stores what ``make`` returns and empties the scratch tables made on the way."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        path = scratch_path(spark, name)
+        make().write.parquet(path)
+    finally:
+        _scopes.pop()
+        release(spark, made)
+    return spark.read.parquet(path), path
+
+
 def is_plain_scan(df: DataFrame) -> bool:
     """Whether reading ``df`` again costs no more than reading its columns again."""
     plan = df._jdf.queryExecution().optimizedPlan()

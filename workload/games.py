@@ -47,15 +47,8 @@ def _matchups(spark, sf_dir):
     return features.matchup_details(starters, teams, box_scores(spark, sf_dir))
 
 
-MATCHUP_COLUMNS = [
-    "game_pk", "pitcher_id", "game_date", "pitcher_hand", "pitching_team", "opponent_team", "strikeouts",
-    "pitches", "bat_ops", "bat_strikeout_rate", "bat_ops_vs_LHP", "bat_k_rate_vs_RHP", "weather", "temp",
-    "wind", "elevation", "hp_umpire", "home_team", "away_starting_pitcher_id", "home_starting_pitcher_id",
-]
-
-
 def matchup_details(spark, sf_dir):
-    return tidy(_matchups(spark, sf_dir).select(*MATCHUP_COLUMNS))
+    return tidy(_matchups(spark, sf_dir))
 
 
 def hand_rates(spark, sf_dir):
@@ -293,8 +286,11 @@ ORACLE = {
         {i('arg_min(fielder_2, at_bat_number * 100 + pitch_number) filter (fielder_2 is not null)', 'catcher_id')}
         from (select *, case inning_topbot when 'Top' then home_team else away_team end as team from pitches where inning = 1)
         group by game_pk, team""",
-    "matchup_details": f"""{CHAIN} select {rounded(['bat_ops', 'bat_strikeout_rate', 'bat_ops_vs_LHP', 'bat_k_rate_vs_RHP', 'elevation'],
-        ['game_pk', 'pitcher_id', 'strikeouts', 'pitches', 'away_starting_pitcher_id', 'home_starting_pitcher_id'], ['game_date'],
-        ['pitcher_hand', 'pitching_team', 'opponent_team', 'weather', 'temp', 'wind', 'hp_umpire', 'home_team'])} from matchups""",
+    # Joins take ``_x`` for a suffix of theirs, so two columns lose it.
+    "matchup_details": f"""{CHAIN} select {r('plate_x', 'plate')}, {r('pfx_x', 'pfx')},
+        {rounded([*(c for c in _pitcher_metrics() if c not in ('plate_x', 'pfx_x')), *_TEAM_DOUBLES, 'elevation', 'humidity'],
+        ['game_pk', 'pitcher_id', 'pitches', 'innings_pitched', 'batters_faced', 'strikeouts', 'unique_pitch_types', *[f'bat_{c}' for c in _TEAM_SUMS],
+        'bat_L_plate_appearances', 'bat_R_plate_appearances', 'away_starting_pitcher_id', 'home_starting_pitcher_id'], ['game_date'],
+        ['pitcher_hand', 'pitching_team', 'opponent_team', 'away_team', 'home_team', 'weather', 'temp', 'wind', 'hp_umpire', 'away_pitcher_ids', 'home_pitcher_ids'])} from matchups""",
     "hand_rates": f"{CHAIN} select {rounded(['team_k_rate', 'team_ops'], ['game_pk'], [], ['opponent_team', 'pitcher_hand'])} from hand_rates",
 }

@@ -201,6 +201,17 @@ def target_encode(spark, sf_dir):
     return tidy(out.select("o_orderkey", "o_orderpriority_enc", "o_custkey_enc"))
 
 
+def lookup_skewed(spark, sf_dir):
+    """Three rows in five have no category and one in five the same one; the table of
+    categories is joined and encoded as one too large to broadcast."""
+    category = F.expr("case when o_orderkey % 5 < 3 then null when o_orderkey % 5 = 3 then -1 else o_custkey end")
+    rows = orders(spark, sf_dir).select("o_orderkey", category.alias("category"), "o_totalprice")
+    table = rows.where("category is not null").groupBy("category").agg(F.count("*").alias("n"))
+    joined = joins.lookup_join(rows, table, ["category"], broadcast_rows=0)
+    means = {"category": rows.where("category is not null").groupBy("category").agg(F.avg("o_totalprice").alias("enc"))}
+    return tidy(encode.apply_target_means(joined, ["category"], means, broadcast_rows=0), 4)
+
+
 def split_by_year(spark, sf_dir):
     rows = orders(spark, sf_dir).select("o_orderkey", "day")
     parts = clean.split_by_year(rows, "day", (1996, 1997, 1998, 1999), (2000, 2001), holdout_year=1998)
@@ -348,6 +359,7 @@ def leakage_guard(spark, sf_dir):
 
 
 _QUERY_FUNCTIONS = [
+    lookup_skewed,
     starters_having, order_metrics, team_rollup, weighted_means, hand_split, pivot_status, pivot_slots,
     mean_of_numeric, group_mean_joined, coalesce_join, merge_suffixed, left_on_right_on, anti_join, semi_join,
     fill_dates, union_by_name, stack_sides, names_by_latest, dedup_keys, duplicate_report, quantiles, winsor_log,
@@ -420,6 +432,10 @@ ORACLE = {
     "winsor_log": f"""with q as (select quantile_cont(o_totalprice, 0.01) as lo, quantile_cont(o_totalprice, 0.99) as hi from orders),
         c as (select o_orderkey, least(greatest(o_totalprice, lo), hi) as v from orders, q)
         select o_orderkey, {r('v', 'o_totalprice', 3)}, {r('ln(1 + v)', 'log_o_totalprice', 3)} from c""",
+    "lookup_skewed": f"""with t as (select *, case when o_orderkey % 5 < 3 then null when o_orderkey % 5 = 3 then -1 else o_custkey end as category from orders)
+        select o_orderkey, category, {r('o_totalprice', 'o_totalprice', 4)},
+        case when category is not null then {'count(*) over (partition by category)'} end as n,
+        case when category is not null then round(cast(avg(o_totalprice) over (partition by category) as double), 4) + 0.0 end as category_enc from t""",
     "target_encode": f"""with t as (select * from orders where year(o_orderdate) < 2000),
         p as (select o_orderpriority, avg(ln(o_totalprice)) as e from t group by 1), k as (select o_custkey, avg(ln(o_totalprice)) as e from t group by 1)
         select o_orderkey, {r('p.e', 'o_orderpriority_enc')}, {r('k.e', 'o_custkey_enc')}

@@ -126,6 +126,11 @@ def time_folds(spark, sf_dir):
     return tidy(folds.time_folds(orders(spark, sf_dir).select(*BASE), ["day", "o_orderkey"], 5))
 
 
+def time_folds_integer(spark, sf_dir):
+    """Folds over whole numbers that are the order on their own."""
+    return tidy(folds.time_folds(orders(spark, sf_dir).select("o_orderkey", "day"), ["o_orderkey"], 7, max_rows=CUT))
+
+
 def incremental_append(spark, sf_dir):
     """Two loads of the same table, the second past the first one's high-water mark."""
     source = orders(spark, sf_dir).select(*BASE, "o_totalprice")
@@ -230,6 +235,7 @@ QUERIES = {
     "stints": stints,
     "stint_state": stint_state,
     "time_folds": time_folds,
+    "time_folds_integer": time_folds_integer,
     "incremental_append": incremental_append,
 }
 
@@ -268,6 +274,9 @@ ORACLE = {
         s as (select *, n // 6 as size, n - 5 * (n // 6) as first_rows from n)
         select o_orderkey, o_custkey, {d('day', 'day')},
           {i('case when rk < first_rows then 0 else (rk - first_rows) // size + 1 end', 'fold')} from s""",
+    "time_folds_integer": f"""with n as (select *, row_number() over (order by o_orderkey) - 1 as rk, count(*) over () as n from {_O}),
+        s as (select *, n // 8 as size, n - 7 * (n // 8) as first_rows from n)
+        select o_orderkey, {d('day', 'day')}, {i('case when rk < first_rows then 0 else (rk - first_rows) // size + 1 end', 'fold')} from s""",
     "incremental_append": f"""select o_orderkey, o_custkey, {d('day', 'day')}, {r('o_totalprice', 'o_totalprice', 4)},
         {r(f'avg(o_totalprice) over ({_W} rows between 3 preceding and 1 preceding)', 'o_totalprice_mean_3', 4)},
         {r(f'stddev_samp(o_totalprice) over ({_W} rows between 3 preceding and 1 preceding)', 'o_totalprice_std_3', 4)},
