@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lagwise.llm.common import prepare, read, settle
+from lagwise.llm.common import prepare, read
 from lagwise.llm.exact_dedup import drop_copies
 from lagwise.llm.mixing import mixed_documents
 from lagwise.llm.packing import pack_documents
 from lagwise.llm.quality_rules import keep_good
 from lagwise.llm.simhash import keep_one
 from lagwise.llm.workload import packing_tokenizer
+from lagwise.session import passing, release
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +58,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """All stages; scratch tables and results of a stage go when the next one is stored."""
+    docs, before = read(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), name)
+        docs, path = passing(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
+        release(spark, before)
+        before = [path]
     return docs
 
 
