@@ -19,11 +19,6 @@ def is_true(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
-def flag(condition: Column) -> Column:
-    """1 when the condition holds, else 0 (also for NULL)."""
-    return F.when(condition, 1).otherwise(0)
-
-
 def ratio(numerator: Column | str, denominator: Column | str) -> Column:
     """Quotient as double, NULL for a zero or NULL denominator."""
     return _col(numerator).cast("double") / F.nullif(_col(denominator).cast("double"), F.lit(0.0))
@@ -143,7 +138,3 @@ def group_by_name(
     for condition, group in reversed(rules):
         result = F.when(condition, group).otherwise(result)
     return result
-
-
-def any_of(c: Column | str, values: Sequence[str]) -> Column:
-    return is_true(_col(c).isin(list(values)))

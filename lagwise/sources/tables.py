@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,11 +17,14 @@ SEASON = "season"
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
-    """Whether anything has been written at ``path`` (any Hadoop file system)."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(target) and fs.listStatus(target).__len__() > 0
+    """Whether Parquet files lie at ``path``, wherever Spark can read."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return False
+    return True
 
 
 def read_table(

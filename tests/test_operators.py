@@ -286,3 +286,22 @@ def test_quantiles_of_many_wide_columns(spark):
     rows = df.toPandas()
     for c in names:
         assert got[c] == pytest.approx(rows[c].quantile([0.01, 0.99]).tolist())
+
+
+def test_pivot_takes_the_first_value_of_an_order(spark):
+    rows = [(1, "a", 3, None), (1, "a", 5, 7.0), (1, "a", 9, 50.0), (1, "b", 1, 2.0), (2, "b", 4, 1.0), (2, "c", 0, 9.0)]
+    df = spark.createDataFrame(rows, "k int, kind string, at int, v double")
+    names, values = {"a": "A", "b": "B"}, {"v": "v_{}"}
+    first = sorted(tuple(r) for r in G.pivot_first(df, ["k"], "kind", names, values, ["at"]).collect())
+    assert first == [(1, 7.0, 2.0), (2, None, 1.0)]
+    largest = sorted(tuple(r) for r in G.pivot_first(df, ["k"], "kind", names, values).collect())
+    assert largest == [(1, 50.0, 2.0), (2, None, 1.0)]
+
+
+def test_lookup_spreads_rows_without_a_key(spark):
+    df = spark.createDataFrame([(1, "x"), (None, "y"), (None, None), (2, "z"), (7, "w")], "id int, note string")
+    table = spark.createDataFrame([(1, "one"), (2, "two")], "id int, name string")
+    small, large = (joins.lookup_join(df, table, ["id"], broadcast_rows=n) for n in (100, 0))
+    assert small.columns == large.columns == ["id", "note", "name"]
+    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+    assert joins.fits_broadcast(table) and not joins.fits_broadcast(table, 1) and not joins.fits_broadcast(table, size=10)
