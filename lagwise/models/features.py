@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagwise.functions.scalars import group_by_name
@@ -15,6 +15,8 @@ from lagwise.operators.clean import candidate_features
 from lagwise.plans import baseball as B
 
 SEED = 3
+# Categories that a model tells apart by name, and labels for all others together.
+KEPT, BUCKETS, RARE = 1000, 256, "~"
 
 
 def assembly(numeric: Sequence[str], categorical: Sequence[str] = ()) -> list:
@@ -34,6 +36,29 @@ def assembly(numeric: Sequence[str], categorical: Sequence[str] = ()) -> list:
     return stages
 
 
+def frequent_values(df: DataFrame, columns: Sequence[str], keep: int = KEPT) -> dict[str, list[str]]:
+    """The ``keep`` most frequent values of each text column; of equally frequent ones the
+    smaller. Counting is distributed and combines before the shuffle; only these values come
+    to the driver."""
+    found = {}
+    for c in columns:
+        top = df.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(keep)
+        found[c] = sorted(r[c] for r in top.collect())
+    return found
+
+
+def fold_values(df: DataFrame, kept: Mapping[str, Sequence[str]], buckets: int = BUCKETS) -> DataFrame:
+    """Values that are not kept become one of ``buckets`` labels, by a hash of the value, so
+    a column has at most ``keep + buckets`` of them whatever the table holds."""
+
+    def label(c: str, values: Sequence[str]) -> Column:
+        bucket = F.conv(F.substring(F.md5(F.col(c).cast("binary")), 1, 8), 16, 10).cast("long") % buckets
+        rare = F.concat(F.lit(RARE), bucket.cast("string"))
+        return F.when(F.col(c).isin(list(values)), F.col(c)).when(F.col(c).isNotNull(), rare)
+
+    return df.withColumns({c: label(c, values) for c, values in kept.items()})
+
+
 def as_doubles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     chosen = set(columns)
     return df.selectExpr(*[f"cast(`{c}` as double) as `{c}`" if c in chosen else f"`{c}`" for c in df.columns])

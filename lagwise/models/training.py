@@ -6,7 +6,7 @@ import json
 import math
 import random
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, RandomForestRegressor
@@ -14,11 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagwise.models.features import (
-    SEED,
     as_doubles,
     assembly,
+    BUCKETS,
+    fold_values,
+    frequent_values,
     importance_table,
+    KEPT,
     never_missing_everywhere,
+    SEED,
 )
 from lagwise.operators.clean import fill_categories, split_by_year
 from lagwise.operators.folds import time_folds
@@ -97,7 +101,7 @@ def _boost(make, rows: DataFrame, ahead: DataFrame, limit: int, patience: int):
         rounds = min(limit, 2 * rounds)
 
 
-_SAVED = "features array<string>, categorical array<string>, target string"
+_SAVED = "features array<string>, categorical array<string>, target string, kept map<string,array<string>>, buckets int"
 
 
 @dataclass
@@ -106,9 +110,12 @@ class Trained:
     features: list[str]
     categorical: list[str]
     target: str
+    kept: dict[str, list[str]] = field(default_factory=dict)
+    buckets: int = BUCKETS
 
     def predict(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(as_doubles(fill_categories(df, self.categorical), [*self.features, self.target]))
+        named = fold_values(fill_categories(df, self.categorical), self.kept, self.buckets) if self.kept else df
+        return self.model.transform(as_doubles(named, [*self.features, self.target]))
 
     def evaluate(self, df: DataFrame) -> DataFrame:
         return metrics(self.predict(df), self.target)
@@ -124,14 +131,15 @@ class Trained:
     def save(self, path: str) -> None:
         """The fitted stages, and a row of what else is needed to use them."""
         self.model.write().overwrite().save(f"{path}/stages")
-        row = [(self.features, self.categorical, self.target)]
+        row = [(self.features, self.categorical, self.target, self.kept, self.buckets)]
         spark = SparkSession.getActiveSession()
         spark.createDataFrame(row, _SAVED).coalesce(1).write.mode("overwrite").json(f"{path}/columns")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Trained:
         row = spark.read.schema(_SAVED).json(f"{path}/columns").first()
-        return Trained(PipelineModel.load(f"{path}/stages"), list(row.features), list(row.categorical), row.target)
+        kept = {c: list(values) for c, values in (row.kept or {}).items()}
+        return Trained(PipelineModel.load(f"{path}/stages"), list(row.features), list(row.categorical), row.target, kept, row.buckets)
 
 
 def train(
@@ -143,24 +151,29 @@ def train(
     categorical: Sequence[str] = (),
     params: Mapping[str, object] | None = None,
     patience: int = PATIENCE,
+    keep: int = KEPT,
+    buckets: int = BUCKETS,
 ) -> Trained:
     """Fit on ``train_df``. With ``eval_df`` a boosted model ends at the round with the lowest
-    error on it, looking ``patience`` rounds ahead. Missing categories become their own value."""
+    error on it, looking ``patience`` rounds ahead. Missing categories become their own value;
+    of more than ``keep`` values the rare ones share ``buckets`` labels."""
     features = never_missing_everywhere(train_df, features)
     columns = [*features, *categorical, target]
 
     def tidy(df: DataFrame) -> DataFrame:
         return as_doubles(fill_categories(df.select(*columns), categorical), [*features, target]).dropna(subset=[target])
 
-    rows = tidy(train_df)
+    rows, kept = tidy(train_df), {}
     bins = 32
     if categorical:
+        kept = frequent_values(rows, categorical, keep)
+        rows = fold_values(rows, kept, buckets)
         counts = rows.agg(*[F.count_distinct(c) for c in categorical]).first()
         bins = max(bins, max(counts) + 2)
     # Fill values and category indexes come from the training rows alone.
     prepared = Pipeline(stages=assembly(features, categorical)).fit(rows)
     ready = prepared.transform(rows)
-    ahead = prepared.transform(tidy(eval_df)) if kind == "boosted" and eval_df is not None else None
+    ahead = prepared.transform(fold_values(tidy(eval_df), kept, buckets)) if kind == "boosted" and eval_df is not None else None
     if ahead is not None and not ahead.isEmpty():
         chosen = {**DEFAULTS[kind], **(params or {})}
         fitted = _boost(
@@ -168,7 +181,7 @@ def train(
         )
     else:
         fitted = _regressor(kind, target, params or {}, bins).fit(ready)
-    return Trained(PipelineModel(stages=[*prepared.stages, fitted]), features, list(categorical), target)
+    return Trained(PipelineModel(stages=[*prepared.stages, fitted]), features, list(categorical), target, kept, buckets)
 
 
 def _fold_scores(folded: DataFrame, features, target, n_splits, kind, params) -> list[float]:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lagwise.models import features as MF
 from lagwise.models import training as MT
-from lagwise.operators.clean import split_by_year
+from lagwise.operators.clean import fill_categories, split_by_year
 from lagwise.operators.rolling import rest_days, rolling_bundle
 from lagwise.session import settle
 from workload.common import i, orders, r, tidy
@@ -87,6 +87,30 @@ def train_categorical(spark, sf_dir):
     return tidy(fitted.importances(spark))
 
 
+KEEP, SHARED = 20, 16
+
+
+def _many_categories(spark, sf_dir):
+    """Five categories that half the rows have, and as many others as there are other rows."""
+    name = F.expr("case when game_pk % 2 = 0 then concat('big', game_pk % 10) when game_pk % 21 <> 0 then concat('k', game_pk) end")
+    return _cells(spark, sf_dir).withColumn("weather", name)
+
+
+def category_folding(spark, sf_dir):
+    """Frequent values by name, all others under shared labels; chosen on the training rows."""
+    df = fill_categories(_many_categories(spark, sf_dir), ["weather"])
+    past, _ = split_by_year(df, "game_date", TRAIN, TEST)
+    folded = MF.fold_values(df, MF.frequent_values(past, ["weather"], KEEP), SHARED)
+    return tidy(folded.groupBy("weather").agg(F.count("*").alias("n"), F.avg(TARGET).alias("mean")))
+
+
+def train_categorical_wide(spark, sf_dir):
+    """A deep tree on a category with very many values predicts the means of its labels."""
+    past, test = split_by_year(_many_categories(spark, sf_dir), "game_date", TRAIN, TEST)
+    fitted = MT.train(past, [], TARGET, "forest", categorical=["weather"], params=ONE_TREE, keep=KEEP, buckets=SHARED)
+    return tidy(fitted.evaluate(test))
+
+
 def cross_validation(spark, sf_dir):
     """RMSE of five expanding folds for the three kinds of model."""
     df = _cells(spark, sf_dir)
@@ -136,7 +160,7 @@ def plain_metrics(spark, sf_dir):
 
 
 _QUERY_FUNCTIONS = [
-    importance_pruning, train_eval, train_categorical, cross_validation, parameter_search, holdout_evaluation,
+    category_folding, train_categorical_wide, importance_pruning, train_eval, train_categorical, cross_validation, parameter_search, holdout_evaluation,
     permutation_importance, train_rolled, plain_metrics,
 ]
 QUERIES = {f.__name__: f for f in _QUERY_FUNCTIONS}
@@ -184,7 +208,15 @@ def _fold_rmse(by: str) -> str:
 # The seeded draws of the search, 0 or 1 by trial.
 DRAWN = "00110011001110001000010111111010001011111110101010"
 
+_FOLDED = f"""{_G}, h as (select yr, y, coalesce(case when game_pk % 2 = 0 then 'big' || game_pk % 10 when game_pk % 21 <> 0 then 'k' || game_pk end, 'NA') as w from g),
+    top as (select w from h where {_PAST} group by w order by count(*) desc, w limit {KEEP}),
+    l as (select yr, y, case when top.w is not null then h.w else '~' || (('0x' || substr(md5(h.w), 1, 8))::bigint % {SHARED}) end as weather
+      from h left join top on h.w = top.w)"""
+
 ORACLE = {
+    "category_folding": f"with {_FOLDED} select weather, {i('count(*)', 'n')}, {r('avg(y)', 'mean')} from l group by weather",
+    "train_categorical_wide": f"""with {_FOLDED}, m as (select weather, avg(y) as p from l where {_PAST} group by weather)
+        select {_SCORES} from l join m using (weather) where {_AHEAD}""",
     "importance_pruning": f"""with {_G}, means as (select avg(k) as e from g),
         f as (select 'opp_mean_3' as feature, coalesce(k, e) as v, y from g, means union all select 'wx_mean_3', b, y from g), {_SPLITS}
         select feature, importance, case feature when 'opp_mean_3' then 'Opponent' else 'Context' end as "group",
