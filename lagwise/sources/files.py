@@ -16,6 +16,9 @@ from lagwise.session import settle
 from lagwise.sources.tables import read_documents, read_table
 
 _BAD = "_bad"
+# Opening and closing a file takes milliseconds, so a task gets few of them.
+DOCUMENTS_PER_FOLDER = 500
+_FOLDER = "_folder"
 
 
 def _with_bad(schema: T.StructType | str) -> T.StructType:
@@ -23,6 +26,20 @@ def _with_bad(schema: T.StructType | str) -> T.StructType:
     return T.StructType([*fields.fields, T.StructField(_BAD, T.StringType())])
 
 
+def write_documents(df: DataFrame, path: str, body: str = "body") -> None:
+    """A text file per row, in folders of about ``DOCUMENTS_PER_FOLDER`` files.
+
+    Rows are dealt evenly, and a folder is written by a task of its own: tasks grow with the
+    number of rows, however few bytes these have, and a folder is put in place as a whole
+    instead of file by file.
+    """
+    rows = settle(df.select(body), "documents")
+    # A number of its own: the adaptive plan would join such small parts again.
+    dealt = rows.repartition(max(1, -(-rows.count() // DOCUMENTS_PER_FOLDER)))
+    placed = dealt.withColumn(_FOLDER, F.spark_partition_id())
+    placed.write.partitionBy(_FOLDER).option("maxRecordsPerFile", 1).text(path)
+
+
 def read_json_files(spark: SparkSession, path: str, schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
     """One JSON document per file, over any number of lines: ``(rows, rejected)``.
 

@@ -28,7 +28,7 @@ def _document_files(spark, sf_dir):
     )
     path = scratch_path(spark, "feeds")
     named = feeds.select(F.to_json(F.struct("game_pk", F.col("body").alias("doc"))).alias("body"))
-    named.union(bad.select("body")).write.option("maxRecordsPerFile", 1).text(path)
+    S.write_documents(named.union(bad.select("body")), path)
     return S.read_json_files(spark, path, "game_pk long, doc string")
 
 
