@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lagwise.sources import files
 from lagwise.sources.tables import read_documents
+from workload import upkeep
 
 
 def test_documents_are_written_by_many_tasks(spark, tmp_path):
@@ -18,3 +19,21 @@ def test_documents_are_written_by_many_tasks(spark, tmp_path):
     back = read_documents(spark, path)
     assert back.select("path").distinct().count() == rows.count()
     assert back.select(F.trim(F.regexp_replace("body", "\n", ""))).exceptAll(rows).count() == 0
+
+
+def test_deliveries_of_many_files_are_one_batch(spark, monkeypatch, tmp_path):
+    """No task writes or reads a whole delivery, and every delivery stays a batch."""
+    seen = []
+    monkeypatch.setattr(upkeep, "ARRIVAL_ROWS", 400, raising=False)
+    wrapped = upkeep.stream_refresh
+
+    def watch(session, arrivals, *rest):
+        query = wrapped(session, arrivals, *rest)
+        query.awaitTermination()
+        batches = sum(p["numInputRows"] > 0 for p in query.recentProgress)
+        seen.append((len(session.read.parquet(arrivals).inputFiles()), batches))
+        return query
+
+    monkeypatch.setattr(upkeep, "stream_refresh", watch)
+    upkeep.stream_append(spark, "/root/testdata/sf0.001")
+    assert [b for _, b in seen] == [1, 1, 1] and seen[0][0] > 1
