@@ -4,6 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from lagwise.operators import sequence
 from lagwise.sources import files
 from lagwise.sources.tables import read_documents
 from workload import upkeep
@@ -37,3 +38,14 @@ def test_deliveries_of_many_files_are_one_batch(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(upkeep, "stream_refresh", watch)
     upkeep.stream_append(spark, "/root/testdata/sf0.001")
     assert [b for _, b in seen] == [1, 1, 1] and seen[0][0] > 1
+
+
+def test_ranges_are_bounded_in_number(spark, monkeypatch):
+    """A range costs a task and a file; a few rows each must not mean ever more of them."""
+    monkeypatch.setattr(sequence, "MAX_RANGES", 8, raising=False)
+    rows = spark.range(3000).select((F.col("id") * 7 % 3000).alias("id"))
+    placed = sequence.ranged_positions(rows, ["id"], max_rows=30)
+    assert len([f for f in placed.inputFiles() if f.endswith(".parquet")]) <= 8
+    assert placed.where("id <> _pos").isEmpty() and placed.count() == 3000
+    few = sequence.ranged_positions(rows, ["id"], max_rows=750)
+    assert len(few.inputFiles()) == 4
