@@ -8,7 +8,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagwise.operators.sequence import BROADCAST_BYTES, BROADCAST_ROWS
+from lagwise.operators.sequence import BROADCAST_BYTES, BROADCAST_ROWS, MAX_ROWS_PER_TASK, key_counts
 
 _SUFFIXES = re.compile(r"(?:_x|_y)+$")
 
@@ -109,13 +109,19 @@ _MISSES = 1024
 
 
 def lookup_join(
-    df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", broadcast_rows: int = BROADCAST_ROWS
+    df: DataFrame,
+    table: DataFrame,
+    on: Sequence[str],
+    how: str = "left",
+    broadcast_rows: int = BROADCAST_ROWS,
+    max_rows: int = MAX_ROWS_PER_TASK,
 ) -> DataFrame:
     """Join a lookup table; broadcast only after checking that it is small.
 
     A larger table is joined by shuffle. Rows that lack a key find nothing whatever happens,
-    so they are spread over many tasks by a hash of the row; a key that is hot is split by the
-    adaptive plan.
+    so they are spread over many tasks by a hash of the row. A key with more than ``max_rows``
+    rows, found by one counted pass over the keys, is dealt to parts of that size, and its rows
+    of the table are copied to each part.
     """
     on = list(on)
     if fits_broadcast(table, broadcast_rows):
@@ -124,11 +130,23 @@ def lookup_join(
         return df.join(table, on, how)
     lacking = F.lit(False)
     for k in on:
-        lacking = lacking | F.col(k).isNull()
-    told = [_name(f.name) for f in df.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
-    spread = F.when(lacking, F.pmod(F.xxhash64(*told), F.lit(_MISSES)) + 1).otherwise(0).cast("int")
-    left = df.withColumn("_spread_l", spread).alias("l")
-    right = table.withColumn("_spread_r", F.lit(0)).alias("r")
+        lacking = lacking | F.col(f"l.{_name(k)}").isNull()
+    told = [F.col(f"l.{_name(f.name)}") for f in df.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    hot = key_counts(df, on, max_rows).select(
+        *[F.col(_name(k)).alias(f"_hot{i}") for i, k in enumerate(on)], F.ceil(F.col("count") / max_rows).cast("int").alias("_parts")
+    )
+
+    def with_parts(rows: DataFrame, side: str) -> DataFrame:
+        same = F.lit(True)
+        for i, k in enumerate(on):
+            same = same & (F.col(f"{side}.{_name(k)}") == F.col(f"_hot{i}"))
+        return rows.alias(side).join(hot, same, "left")
+
+    spread = F.when(lacking, F.pmod(F.xxhash64(*told), F.lit(_MISSES)) + 1).otherwise(F.pmod(F.xxhash64(*told), F.coalesce("_parts", F.lit(1))))
+    left = with_parts(df, "l").select("l.*", spread.cast("int").alias("_spread_l")).alias("l")
+    # Generated, not a literal: that would be folded into the condition, and rows placed by key alone.
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    right = with_parts(table, "r").select("r.*", copies.alias("_spread_r")).alias("r")
     same = F.col("l._spread_l") == F.col("r._spread_r")
     for k in on:
         same = same & (F.col(f"l.{_name(k)}") == F.col(f"r.{_name(k)}"))

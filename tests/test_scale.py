@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from lagwise.operators import sequence
+from lagwise.operators import joins, sequence
 from lagwise.sources import files
 from lagwise.sources.tables import read_documents
 from workload import upkeep
@@ -49,3 +49,24 @@ def test_ranges_are_bounded_in_number(spark, monkeypatch):
     assert placed.where("id <> _pos").isEmpty() and placed.count() == 3000
     few = sequence.ranged_positions(rows, ["id"], max_rows=750)
     assert len(few.inputFiles()) == 4
+
+
+def test_lookup_spreads_missing_and_hot_keys(spark):
+    """Rows without a key and rows of a hot key go to many tasks, and find what they found before."""
+    rows = spark.range(6000).select("id", F.expr("case when id % 5 < 3 then null when id % 5 = 3 then -1 else id % 50 end").alias("k"))
+    table = spark.sql("select * from values (-1L, 'a'), (-1L, 'b'), (4L, 'c'), (null, 'd'), (77L, 'e') t(k, v)")
+    plain = rows.join(table, "k", "left")
+    names = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = joins.lookup_join(rows, table, ["k"], broadcast_rows=0, max_rows=100)
+        assert found.columns == plain.columns
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert found.exceptAll(plain).count() == 0 and plain.exceptAll(found).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", names[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", names[1])
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", names[2])
+    assert sum(sizes) == 7200 and max(sizes) < 1200
