@@ -4,6 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from lagwise.models import training
 from lagwise.operators import joins, sequence
 from lagwise.sources import files
 from lagwise.sources.tables import read_documents
@@ -70,3 +71,12 @@ def test_lookup_spreads_missing_and_hot_keys(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", names[1])
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", names[2])
     assert sum(sizes) == 7200 and max(sizes) < 1200
+
+
+def test_every_file_of_the_folds_has_all_folds(spark):
+    """Else a fit on the first fold leaves most tasks without rows."""
+    rows = spark.range(6000).select(F.col("id").alias("o"), (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 3).cast("double").alias("y"))
+    folded = training._folded(rows, ["x"], ["o"], "y", 5)
+    per_file = folded.groupBy(F.input_file_name().alias("f")).agg(F.count_distinct("fold").alias("n"), F.count("*").alias("rows"))
+    assert [r.n for r in per_file.collect()] == [6] * per_file.count() and per_file.count() > 1
+    assert {r.fold: r["count"] for r in folded.groupBy("fold").count().collect()} == {k: 1000 for k in range(6)}
