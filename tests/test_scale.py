@@ -2,10 +2,11 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from lagwise.models import training
-from lagwise.operators import joins, sequence
+from lagwise.operators import aggregates, joins, sequence
 from lagwise.sources import files
 from lagwise.sources.tables import read_documents
 from workload import upkeep
@@ -80,3 +81,28 @@ def test_every_file_of_the_folds_has_all_folds(spark):
     per_file = folded.groupBy(F.input_file_name().alias("f")).agg(F.count_distinct("fold").alias("n"), F.count("*").alias("rows"))
     assert [r.n for r in per_file.collect()] == [6] * per_file.count() and per_file.count() > 1
     assert {r.fold: r["count"] for r in folded.groupBy("fold").count().collect()} == {k: 1000 for k in range(6)}
+
+
+def test_quantiles_and_extremes_take_few_passes_however_many_columns(spark):
+    """A pass of its own for every few columns is hundreds of jobs over a wide table."""
+    names = [f"c{k}" for k in range(60)]
+    df = spark.range(500).select("id", *[((F.col("id") * (2 * k + 1)) % 503).cast("double").alias(c) for k, c in enumerate(names)])
+    df = df.withColumn("c7", F.when(F.col("id") % 2 == 0, float("nan")).when(F.col("id") < 99, F.col("c7"))).withColumn("c9", F.lit(None).cast("double"))
+    context, group = spark.sparkContext, "few-passes"
+    context.setJobGroup(group, group)
+    try:
+        got = aggregates.column_quantiles(df, names, (0.01, 0.5, 0.99), budget=1500)
+    finally:
+        context.setJobGroup("others", "others")
+    assert len(context.statusTracker().getJobIdsForGroup(group)) <= 40
+    rows = df.toPandas()
+    for c in names:
+        assert got[c] == ([None] * 3 if c == "c9" else pytest.approx(rows[c].quantile([0.01, 0.5, 0.99]).tolist()))
+
+
+def test_quantiles_of_far_apart_values(spark):
+    """Outliers and infinite ends leave nearly all rows in one part; the ranks stay exact."""
+    far = F.when(F.col("id") == 0, float("-inf")).when(F.col("id") == 1, -1.7e308).when(F.col("id") == 998, 1.7e308).when(F.col("id") == 999, float("inf"))
+    df = spark.range(1000).select(far.otherwise(F.col("id").cast("double")).alias("x"))
+    got = aggregates.column_quantiles(df, ["x"], (0.0, 0.01, 0.5, 0.99, 1.0), budget=5)["x"]
+    assert got == pytest.approx([float("-inf"), 9.99, 499.5, 989.01, float("inf")])
