@@ -305,3 +305,18 @@ def test_lookup_spreads_rows_without_a_key(spark):
     assert small.columns == large.columns == ["id", "note", "name"]
     assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
     assert joins.fits_broadcast(table) and not joins.fits_broadcast(table, 1) and not joins.fits_broadcast(table, size=10)
+
+
+def test_packed_join_is_a_chain_of_coalescing_joins(spark):
+    keys = "g int, p int"
+    a = spark.createDataFrame([(1, 1, 1.0, None), (1, 2, None, "a"), (2, 1, 3.0, None), (None, 3, 4.0, "n")], f"{keys}, x double, t string")
+    a2 = spark.createDataFrame([(1, 1, 9.0, 7), (2, 1, 9.0, None)], f"{keys}, x double, day int")
+    b = spark.createDataFrame([(1, 1, 5.0, "b"), (1, 2, 6.0, "b"), (None, 3, 0.0, "b")], f"{keys}, x double, t_x string")
+    b2 = spark.createDataFrame([(2, 1, 1), (1, 2, 2)], f"{keys}, more int")
+    c = spark.createDataFrame([(1, 1, 1), (1, 1, 2)], f"{keys}, twice int")
+    on = ["g", "p"]
+    chain = joins.coalescing_join(a.join(a2.drop("x"), on, "left"), b.join(b2, on, "left"), on, "left")
+    chain = joins.coalescing_join(chain, c, on, "left")
+    made = joins.packed_join([[a, a2], [b, b2], [c]], on)
+    assert set(made.columns) == set(chain.columns)
+    assert sorted(map(str, made.collect())) == sorted(map(str, chain.select(*made.columns).collect()))

@@ -1,6 +1,7 @@
 """Tables behind one pointer, changes passed on, the stream on top, and files with bad records."""
 
 import datetime as dt
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,3 +188,40 @@ def test_sorted_tables_and_pruned_loads(spark, tmp_path):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(game_date,2023-01-01)" in plan and "LessThan(game_date,2024-01-01)" in plan
     assert dt.date(2023, 1, 1) <= got.agg(F.min("game_date")).first()[0]
+
+
+def test_tables_that_do_not_need_each_other_are_made_at_once(spark, tmp_path):
+    both = threading.Barrier(2, timeout=60)
+
+    def beside(rows):
+        both.wait()  # in turn, the first would wait in vain
+        return rows.select("k", "d")
+
+    def after(left, right):
+        return left.join(right.select("k"), "k")
+
+    stages = [
+        Stage(Table("left", ("k",), ("k",), "d"), ("base",), beside),
+        Stage(Table("right", ("k",), ("k",), "d"), ("base",), beside),
+        Stage(Table("after", ("k",), ("k",), "d"), ("left", "right"), after),
+    ]
+    store = Store(spark, str(tmp_path / "s"), buckets=2)
+    rows = spark.createDataFrame([(k, dt.date(2024, 1, 1 + k)) for k in range(5)], "k int, d date")
+    bring_in(store, [Table("base", ("k",), ("k",), "d")], stages, {"base": rows})
+    assert sorted(r["k"] for r in store.read("after").collect()) == list(range(5))
+
+
+def test_the_first_error_of_tables_made_at_once_ends_the_build(spark, tmp_path):
+    def fail(rows):
+        raise ValueError("no")
+
+    base = Table("base", ("k",), ("k",), "d")
+    stages = [
+        Stage(Table("good", ("k",), ("k",), "d"), ("base",), lambda rows: rows),
+        Stage(Table("bad", ("k",), ("k",), "d"), ("base",), fail),
+    ]
+    store = Store(spark, str(tmp_path / "s"), buckets=2)
+    rows = spark.createDataFrame([(1, dt.date(2024, 1, 1))], "k int, d date")
+    with pytest.raises(ValueError, match="no"):
+        bring_in(store, [base], stages, {"base": rows})
+    assert "good" not in Store(spark, str(tmp_path / "s"), buckets=2)
